@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, language_id, simhash
 from .common import fresh_path, read_table
 from .token_counts import token_counts
 
@@ -16,6 +16,26 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
 
 
+def held_out():
+    """Documents whose language labels are kept from training."""
+    return F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")), F.lit(3)) == 1, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> language_id.LanguageModel:
+    return language_id.fit(docs.where(~held_out() & F.col("lang").isNotNull()).select("text", "lang"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "lang_rejected")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), fresh_path(spark, "token_cache"))
@@ -24,6 +44,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op4_language_id": op4_language_id,
+    "op5_simhash": op5_simhash,
     "op7_token_counts": op7_token_counts,
 }
 

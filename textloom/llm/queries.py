@@ -6,11 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, simhash
+from . import bpe, language_id, mixing, simhash
 from .common import fresh_path, read_table
 from .token_counts import token_counts
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
@@ -43,6 +48,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,

@@ -44,10 +44,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK) -> tuple[DataFrame, int]:
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int | None = None) -> tuple[DataFrame, int]:
     """Adds chunk; and the bytes of all texts."""
     total = text_bytes(docs, text_col)
-    n = max(1, -(-total // chunk_bytes))
+    n = max(1, -(-total // (chunk_bytes or CHUNK)))
     return docs.withColumn("chunk", F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("long")), total
 
 

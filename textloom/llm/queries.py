@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, quality, simhash, substring_dedup, url_filter
+from . import bpe, language_id, mixing, quality, simhash, substring_dedup, suffix_dedup, url_filter
 from .common import fresh_path, read_table
 from .token_counts import token_counts
 
@@ -47,6 +47,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.remove_repeats(docs)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), fresh_path(spark, "token_cache"))
@@ -80,6 +86,7 @@ QUERIES = {
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_counts": op7_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,

@@ -167,13 +167,16 @@ def _mapped(df: DataFrame, keep: list[str], source: str, out: list[T.StructField
     return df.select(*keep, F.col(source).alias("_source")).mapInArrow(run, schema)
 
 
+def listed(parts: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0] + [len(p) // 4 for p in parts])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
+
+
 def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Adds ids_col array<int>. Null and empty texts give no ids; any other column is kept, one of that name replaced."""
 
     def f(col):
-        parts = [codec(tokenizer).encode(t.as_py()) for t in col]
-        ends = np.cumsum([0] + [len(p) // 4 for p in parts])
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))]
+        return [listed([codec(tokenizer).encode(t.as_py()) for t in col])]
 
     return _mapped(df, [c for c in df.columns if c != ids_col], text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], f)
 
@@ -187,20 +190,23 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str =
     return _mapped(df, [c for c in df.columns if c != text_col], ids_col, [T.StructField(text_col, T.StringType())], f)
 
 
-def digests(df: DataFrame, tokenizer: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Encodes and decodes every text; returns `keep`, n_tokens, ids_sha256 and decoded_sha256.
+def digests(df: DataFrame, tokenizer: str, keep: list[str], text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes every text; returns `keep`, n_tokens, ids_sha256, decoded_sha256, and ids if asked for.
 
-    Ids stay in the worker, so that texts of any length leave it as two digests.
+    Otherwise ids stay in the worker, so that texts of any length leave it as two digests.
     """
 
     def f(col):
-        c, n, a, b = codec(tokenizer), [], [], []
+        c, n, a, b, all_ids = codec(tokenizer), [], [], [], []
         for t in col:
             ids = c.encode(t.as_py())
+            if with_ids:
+                all_ids.append(ids)
             n.append(len(ids) // 4)
             a.append(hashlib.sha256(ids).hexdigest())
             b.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-        return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+        return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *([listed(all_ids)] if with_ids else [])]
 
     out = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    out += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
     return _mapped(df, keep, text_col, out, f)

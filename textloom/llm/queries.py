@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, quality, simhash, substring_dedup, suffix_dedup, url_filter
+from . import bpe, language_id, mixing, quality, simhash, substring_dedup, suffix_dedup, topk, url_filter
 from .common import fresh_path, read_table
 from .token_counts import token_counts
 
@@ -59,6 +59,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 #: (verdict, host, path)
 URL_RULES = [
     ("allow", "org", "/"),
@@ -88,6 +93,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_topk": op8_topk,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
 }

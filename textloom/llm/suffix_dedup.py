@@ -326,15 +326,15 @@ def mark(chunk: Chunk, answers: pa.Table, buckets: int) -> None:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans, spans and kept_bytes to every row of docs.
+    """Adds n_bytes, n_removed, n_spans, spans, kept_bytes and kept_text to every row of docs.
 
     Removed are the bytes (UTF-8) of each string of `length` bytes that also starts in a document with a
     smaller id. spans are the maximal removed runs as byte offsets [start, end); kept_bytes is what is left and may
-    cut a character. Null texts are empty; a null id is later than all others; rows of one id don't
+    cut a character, kept_text leaves such halves out. Null texts are empty; a null id is later than all others; rows of one id don't
     remove each other's bytes; all other columns are kept. An empty table stays empty.
     """
     plan = Plan(docs, length, id_col, text_col, False)
-    fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("spans", SPANS), T.StructField("kept_bytes", T.BinaryType())]
+    fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("spans", SPANS), T.StructField("kept_bytes", T.BinaryType()), T.StructField("kept_text", T.StringType())]
     kept, schema = with_fields(plan.placed, fields)
 
     def take(chunk: Chunk, table: pa.Table, found: list) -> pa.Table:
@@ -364,7 +364,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 cols["n_spans"].append(len(turns) // 2)
                 cols["spans"].append([{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2])])
                 cols["kept_bytes"].append(p.data[a:b][~mask].tobytes() if removed else text)
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+        cols["kept_text"] = [x.decode("utf-8", "ignore") for x in cols["kept_bytes"]]
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string()]
         return pa.table({c: table.column(c) for c in kept} | {f.name: pa.array(cols[f.name], k) for f, k in zip(fields, kinds)})
 
     return plan.visit(take, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, once
+from .common import Recent, once, stored
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: A unit starts at a space, or at a line break; no vocabulary piece spans either start.
@@ -110,4 +110,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * len(n), pa.string()), n], ["digest", "tokenizer", "n_tokens"])
 
     missing.select("_digest", "_content").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    return keyed.select("_id", "_digest", F.octet_length("_content").cast("long").alias("n_bytes")).join(known(), "_digest", "left").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens")
+    # stored, so that the join reads plain exchanges, which Spark splits where a content has many copies
+    counts = stored(known(), "token_counts")
+    return keyed.select("_id", "_digest", F.octet_length("_content").cast("long").alias("n_bytes")).join(counts, "_digest", "left").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens")

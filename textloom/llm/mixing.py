@@ -23,7 +23,7 @@ SLOTS = 1 << 18
 #: Bins of the unit interval that bring points and cumulative weights together.
 BINS = 4096
 #: Documents that one running sum goes over, about.
-SHARD = 50_000
+SHARD = 2_000
 
 
 def n_words(text: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .common import LAST_ID, text_bytes
 
 #: Text bytes of a chunk, about.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 SENT = "bucket long, chunk long, data binary"
 
@@ -27,7 +27,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     import zstandard as zstd
 
     head = np.array([len(arrays), *(x for a in arrays for x in (len(a), np.dtype(a.dtype).num))], "<i8")
-    return zstd.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+    return zstd.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -100,6 +100,17 @@ class Powers:
         return (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
 
 
+def hashes_at(data: np.ndarray, at: np.ndarray, length: int, block: int = 1 << 19) -> np.ndarray:
+    """Hashes of data[a : a + length] for each a of at, which ascends; in blocks, so that memory stays bounded."""
+    out = np.empty(len(at), np.uint64)
+    cuts = np.searchsorted(at, np.arange(0, len(data) + block, block)).tolist()
+    for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+        if i < j:
+            own = at[i:j] - k * block
+            out[i:j] = Powers(data[k * block : (k + 1) * block + length]).of(own, own + length)
+    return out
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     from .common import once
 

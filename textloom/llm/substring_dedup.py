@@ -19,9 +19,9 @@ from .common import mix64, white, window_min
 
 WINDOW = 13
 #: Bytes of super-k-mers in a bucket, about, and how much of them a byte of text makes.
-BUCKET, SPREAD = 16 << 20, 3
+BUCKET, SPREAD = 6 << 20, 3
 #: Text that is cut into super-k-mers at once.
-PART = 2 << 20
+PART = 1 << 19
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -107,19 +107,27 @@ def least_documents(entries: list[list[np.ndarray]], window: int) -> list[list[n
     least = np.full(len(known), np.iinfo(np.int64).max)
     for number, (first_doc, _, _) in zip(numbers, entries):
         np.minimum.at(least, number, first_doc)
-    words = Words(list(known))
-    counts = np.bincount(words.doc, minlength=len(known)) - window + 1
+    strings = list(known)
+    held = b" ".join([*strings, b""])
+    counts, starts, ends, sums, at, low = [], [], [], [], 0, 0
+    for high in _parts([len(t) for t in strings]):
+        words = Words(strings[low:high])
+        n = np.bincount(words.doc, minlength=high - low) - window + 1
+        first = ragged(np.cumsum(n) - n + np.arange(high - low) * (window - 1), n)
+        a, b = words.starts[first], words.ends[first + window - 1]
+        sums.append(Powers(words.data).of(a, b))
+        starts.append(a + at)
+        ends.append(b + at)
+        counts.append(n)
+        at, low = at + len(words.data), high
+    counts, a, b, sums = (np.concatenate(x) for x in (counts, starts, ends, sums))
     base = np.cumsum(counts) - counts
     of = np.repeat(np.arange(len(known)), counts)
-    first = ragged(base + np.arange(len(known)) * (window - 1), counts)
-    a, b = words.starts[first], words.ends[first + window - 1]
-    sums = Powers(words.data).of(a, b)
     order = np.argsort(sums, kind="stable")
     new = np.concatenate([[True], sums[order][1:] != sums[order][:-1]]) if len(order) else np.zeros(0, bool)
     run = np.cumsum(new) - 1
     # equal hashes are checked on the words; what differs after all is told apart by the words themselves
     head = order[np.flatnonzero(new)][run]
-    held = words.bytes
     others = np.flatnonzero(~new)
     wrong = [k for k, i, j in zip(others.tolist(), order[others].tolist(), head[others].tolist()) if held[a[i] : b[i]] != held[a[j] : b[j]]]
     if wrong:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rules import spliced
+from .settle import settled
 
 #: Proposals of a sentence that combine; the pool limit of the search.
 POOL = 8
@@ -41,14 +42,31 @@ def combinations(proposals: DataFrame, most: int = 3) -> DataFrame:
 
 
 def build(proposals: DataFrame, most: int = 3, limit: int = POOL) -> DataFrame:
-    """Candidates with their texts: (doc_id, lang, sent_ix, sentence, members, candidate, n_edits, gain parts)."""
-    p = pool(proposals, limit)
-    edits = p.groupBy("doc_id", "lang", "sent_ix", "sentence").agg(F.map_from_entries(F.collect_list(F.struct("prop_ix", F.struct("start", "end", "after", "family", "confidence", "risk").alias("e")))).alias("edits"))
-    c = combinations(p, most).join(edits, ["doc_id", "sent_ix"])
-    chosen = F.transform("members", lambda m: F.element_at(F.col("edits"), m))
-    c = c.withColumn("chosen", chosen)
+    """Candidates with their texts: (doc_id, lang, sent_ix, sentence, members, chosen, candidate, n_edits).
+
+    The same combinations as by joining, enumerated inside each sentence's row: one shuffle
+    for any number of edits.
+    """
+    edit = F.struct("prop_ix", "start", "end", "after", "family", "confidence", "risk")
+    rows = pool(proposals, limit).groupBy("doc_id", "sent_ix").agg(F.first("lang").alias("lang"), F.first("sentence").alias("sentence"), F.array_sort(F.collect_list(edit)).alias("edits"))
+    rows = settled(rows, edits=F.col("edits"), places=F.sequence(F.lit(0), F.size("edits") - 1))
+    of = lambda i: F.get(F.col("edits"), i)
+    apart = lambda i, j: (of(i)["end"] <= of(j)["start"]) | (of(j)["end"] <= of(i)["start"])
+    sets = settled(rows, last=F.transform("places", lambda i: F.array(i)))
+    sets = sets.withColumn("all", F.col("last"))
+    for _ in range(most - 1):
+
+        def longer(c):
+            fits = lambda j: (j > F.element_at(c, -1)) & F.forall(c, lambda i: apart(i, j))
+            return F.transform(F.filter(F.col("places"), fits), lambda j: F.concat(c, F.array(j)))
+
+        sets = settled(sets, last=F.flatten(F.transform("last", longer)))
+        sets = settled(sets, all=F.concat("all", "last"))
+    each = sets.select("doc_id", "lang", "sent_ix", "sentence", "edits", F.explode("all").alias("picked"))
+    each = each.withColumn("chosen", F.transform("picked", of)).drop("edits", "picked")
     simple = F.transform("chosen", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["after"].alias("after")))
-    return c.withColumn("candidate", spliced(F.col("sentence"), simple)).withColumn("n_edits", F.size("members")).drop("edits")
+    c = each.withColumn("members", F.transform("chosen", lambda e: e["prop_ix"])).withColumn("candidate", spliced(F.col("sentence"), simple))
+    return c.withColumn("n_edits", F.size("members"))
 
 
 def distinct(candidates: DataFrame) -> DataFrame:

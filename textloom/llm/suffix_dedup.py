@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import SENT, Powers, by_bucket, chunked, in_order, pack, ragged, sent, unpack, with_fields
+from .chunks import SENT, Powers, by_bucket, chunked, hashes_at, in_order, pack, ragged, sent, unpack, with_fields
 from .common import mix64, window_min
 
 #: Bytes of a repeated string, and of the pieces whose least hash is its anchor.
@@ -27,8 +27,9 @@ LENGTH, PIECE = 50, 20
 #: String starts of a fragment at most.
 RUN = 64
 #: Bytes of text for each bucket of anchors, and of fragments.
-BUCKET = 32 << 20
-PART = 2 << 20
+BUCKET = 8 << 20
+#: Text that is looked through at once.
+PART = 1 << 19
 NEVER = np.iinfo(np.int64).max
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -136,7 +137,7 @@ class SuffixArray:
         counts = sizes - length + 1
         string = np.repeat(np.arange(len(starts)), counts)
         at = ragged(starts, counts)
-        sums = Powers(data).of(at, at + length)
+        sums = hashes_at(data, at, length)
         order = np.argsort(sums, kind="stable")
         ordered = sums[order]
         same = np.concatenate([[False], ordered[1:] == ordered[:-1]]) if len(order) else np.zeros(0, bool)

@@ -41,13 +41,19 @@ def fit(labelled: DataFrame, docs_per_language: int = 160, max_chars: int = 8_00
 
     Bounds of the sample, all that reaches the driver: docs_per_language texts, of at most
     max_chars characters, for each of the max_languages most frequent languages. The
-    sample goes by the hash of the text, so that reruns agree.
+    sample goes by the hash of the text, each text once, so that reruns agree.
     """
     known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    usual = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    fits = known.where((F.length("text") <= max_chars) & F.col("lang").isin(usual))
-    sample = fits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs_per_language).orderBy("lang", "_n").collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    usual = [r["lang"] for r in counts]
+    # only texts whose hash is among the lowest are looked at: few times the sample, whatever the size
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col("lang") == r["lang"], min(1.0, 6 * docs_per_language / max(r["texts"], 1))).otherwise(share)
+    unit = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = known.where((F.length("text") <= max_chars) & (unit < share)).distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 40)), "text")
+    sample = drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs_per_language).orderBy("lang", "_n").collect()
     found = []
     for lang in usual:
         texts = list(dict.fromkeys(r["text"].lower().encode() for r in sample if r["lang"] == lang))

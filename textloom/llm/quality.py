@@ -86,7 +86,11 @@ def stratum() -> Column:
 def cutoffs(good: DataFrame, rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA, holdout: int = HOLDOUT) -> DataFrame:
     """(stratum, rule, cutoff, allowed, holdout) from the good documents' features, at most one row for each stratum and rule."""
     tests = len(rules) * (len(LENGTHS) + 1)
-    kept = good.withColumn("_n", F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("_n") <= holdout)
+    # documents whose hash is among the lowest: few times the holdout, whatever the size
+    counts = good.groupBy("stratum").agg(F.count("*").alias("_all"))
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    drawn = good.join(F.broadcast(counts), "stratum").where(order / F.lit(float(1 << 40)) * F.col("_all") < 2 * holdout).drop("_all")
+    kept = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("stratum").orderBy(order, "doc_id"))).where(F.col("_n") <= holdout)
     sizes = kept.groupBy("stratum").agg(F.count("*").alias("holdout")).withColumn("allowed", allowed(F.col("holdout"), alpha / len(rules), delta / tests))
     values = kept.select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), f().alias("value")) for r, f in rules.items()))).alias("x")).select("stratum", "x.*")
     ranked = values.withColumn("_r", F.row_number().over(Window.partitionBy("stratum", "rule").orderBy(F.desc("value"))) - 1)

@@ -101,14 +101,3 @@ class Recent(dict):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-
-
-def settled(df: DataFrame, **columns) -> DataFrame:
-    """Adds columns that later expressions read instead of evaluating them anew.
-
-    The optimizer moves a projection into the expressions above it, lambdas included, where an
-    array would be built again for each element; it does not move what a generator made.
-    """
-    made = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias("_settled")
-    kept = [c for c in df.columns if c not in columns]
-    return df.select(*kept, made).select(*kept, *(F.col(f"_settled.{name}").alias(name) for name in columns))

@@ -29,5 +29,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u")))
         now = stored(small.where("v <> u").distinct(), "cc")
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .settle import settled
 
 NUMBERS = r"\d+(?:[.,:]\d+)*"
 ROMANS = r"(?:^|[^\p{L}])([IVXLCDM]{2,})"
@@ -23,9 +24,13 @@ def numeric(source: Column, target: Column) -> Column:
     return same_multiset(of(source), of(target))
 
 
-def marker_counts(text: Column, markers: list[str]) -> Column:
-    """How often each marker occurs as whole words; each on its own, overlaps included."""
-    w = F.concat(F.lit(" "), F.array_join(X.words(text), "  "), F.lit(" "))
+def spaced(text: Column) -> Column:
+    """The words of a text, each between spaces of its own."""
+    return F.concat(F.lit(" "), F.array_join(X.words(text), "  "), F.lit(" "))
+
+
+def marker_counts(w: Column, markers: list[str]) -> Column:
+    """How often each marker occurs in a spaced text; each on its own, overlaps included."""
     return F.array(*((F.length(w) - F.length(F.replace(w, F.lit(f" {m} "), F.lit("")))) / (len(m) + 2) for m in markers))
 
 
@@ -62,6 +67,9 @@ def validate(candidates: DataFrame, markers: dict[str, list[tuple[str, str]]], l
     decrease and certainty doesn't grow; only new defects count.
     """
     s, c = F.col("sentence"), F.col("candidate")
+    # once a row, not once for each marker and language
+    candidates = settled(candidates, _s=spaced(s), _c=spaced(c))
+    ws, wc = F.col("_s"), F.col("_c")
 
     def by_lang(check) -> Column:
         out = F.lit(True)
@@ -72,11 +80,11 @@ def validate(candidates: DataFrame, markers: dict[str, list[tuple[str, str]]], l
     def kind(own, k):
         return [m for kk, m in own if kk == k]
 
-    negation = by_lang(lambda own: marker_counts(s, kind(own, "negation")) == marker_counts(c, kind(own, "negation")))
-    modality = by_lang(lambda own: (total(marker_counts(c, kind(own, "hedge"))) >= total(marker_counts(s, kind(own, "hedge")))) & (total(marker_counts(c, kind(own, "certainty"))) <= total(marker_counts(s, kind(own, "certainty")))))
+    negation = by_lang(lambda own: marker_counts(ws, kind(own, "negation")) == marker_counts(wc, kind(own, "negation")))
+    modality = by_lang(lambda own: (total(marker_counts(wc, kind(own, "hedge"))) >= total(marker_counts(ws, kind(own, "hedge")))) & (total(marker_counts(wc, kind(own, "certainty"))) <= total(marker_counts(ws, kind(own, "certainty")))))
     out = candidates.withColumn("numeric_ok", numeric(s, c)).withColumn("negation_ok", negation).withColumn("modality_ok", modality).withColumn("length_ok", length_ratio(s, c, low, high))
     out = out.withColumn("grammar_ok", grammar_errors(c) <= grammar_errors(s)).withColumn("warnings", F.greatest(F.lit(0), grammar_warnings(c) - grammar_warnings(s)))
-    return out.withColumn("valid", F.col("numeric_ok") & F.col("negation_ok") & F.col("modality_ok") & F.col("length_ok") & F.col("grammar_ok"))
+    return out.withColumn("valid", F.col("numeric_ok") & F.col("negation_ok") & F.col("modality_ok") & F.col("length_ok") & F.col("grammar_ok")).drop("_s", "_c")
 
 
 #: Categories of epistemic markers by rising certainty.

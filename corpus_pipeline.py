@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, language_id, mixing, simhash, suffix_dedup
+from textloom.llm import bpe, language_id, mixing, near_copies, suffix_dedup
 from textloom.llm.common import read_table, stored
 from textloom.llm.queries import language_model
 
@@ -17,11 +17,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each SimHash component, and one row of repeated ids.
+    """Keeps the smallest doc_id of each component of near copies, and one row of repeated ids.
 
-    Documents without an id can't stand for a group and stay.
+    Near copies have a Jaccard similarity of 0.8 or more on five-word shingles. Documents without an id
+    can't stand for a group and stay.
     """
-    found = simhash.near_duplicates(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"))
+    found = near_copies.near_copies(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"))
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))

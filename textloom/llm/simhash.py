@@ -29,25 +29,33 @@ SEGMENTS = 32
 BLOCK = 4096
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Bits set in over half of the shingles' XXH64 (seed 42); 0 without a word."""
+def shingle_hashes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle in order; the whole text is one where it has fewer words, none without a word."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # ASCII white space and case only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
-        starts = [0, *(e + 1 for e in ends)]
-        of = xxhash.xxh64_intdigest
-        hashes = [of(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
+    starts = [0, *(e + 1 for e in ends)]
+    of = xxhash.xxh64_intdigest
+    return np.array([of(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])], np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes; 0 without any."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Bits set in over half of the shingles' XXH64 (seed 42); 0 without a word."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp) of every row; fp is the fingerprint as a signed long."""
 

@@ -34,6 +34,22 @@ def test_language(spark, docs, rows):
             assert r["lang_pred"] in model.languages
 
 
+def test_language_of_long_texts(spark):
+    rnd = random.Random(9)
+    known = [(" ".join(sentence(rnd, lang, 12) for _ in range(6)), lang) for _ in range(200) for lang in ("en", "fr", "de")]
+    model = language_id.fit(spark.createDataFrame(known, "text string, lang string"))
+    tools = language_id.compressors(model)
+    of = lambda lang, n: " ".join(sentence(rnd, lang, 2000) for _ in range(n // 13_000 + 1))[:n]
+    sizes = lambda text: [sum(len(t.compress(text.encode()[k : k + language_id.PIECE])) for k in range(0, len(text.encode()), language_id.PIECE)) for t in tools]
+    gap = lambda text: sorted(sizes(text))[1] - min(sizes(text))
+    for lang in ("en", "fr", "de"):
+        text = of(lang, 4_000_000)
+        assert language_id.predict(model, tools, text)[::2] == (lang, False)
+        assert gap(text) > 20 * gap(text[:100_000])
+    changed = of("en", 700_000) + " " + of("de", 3_000_000)
+    assert language_id.predict(model, tools, changed)[0] == "de"
+
+
 def test_language_without_training(docs, empty):
     model = language_id.fit(empty.select("text", "lang"))
     assert {r["lang_pred"] for r in language_id.identify(docs, model).collect()} == {"und"}

@@ -1,9 +1,9 @@
 """Language identification by compression.
 
 Each language keeps a raw-content zstandard dictionary of its own sample texts. A
-text is compressed whole against every dictionary; the language whose dictionary
-leaves the fewest bytes is predicted, and the prediction is rejected where the runner-up
-comes too close.
+text is compressed whole against every dictionary, long ones in pieces that each start from
+the dictionary; the language whose dictionary leaves the fewest bytes over all pieces is
+predicted, and the prediction is rejected where the runner-up comes too close.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from .common import once
 
 UNDETERMINED = "und"
+#: Bytes that are compressed at once: few beside the window (512 KiB), which must hold the dictionary too.
+PIECE = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -80,7 +82,8 @@ def predict(model: LanguageModel, tools: list, text: str | None) -> tuple[str, f
     if not text or not tools or next(filter(str.isalpha, text), None) is None:
         return UNDETERMINED, 0.0, True
     data = text.lower().encode()
-    sizes = [len(t.compress(data)) for t in tools]
+    pieces = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
+    sizes = [sum(len(t.compress(p)) for p in pieces) for t in tools]
     best = min(range(len(sizes)), key=sizes.__getitem__)
     gaps = [s - sizes[best] for s in sizes]
     second = min((g for k, g in enumerate(gaps) if k != best), default=len(data))

@@ -40,13 +40,18 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it as a whole, rounded; those it doesn't take go."""
+    """Repeats each document as often as the mix takes it as a whole, rounded; those it doesn't take go.
+
+    Rows follow the mix's schedule: each copy stands where a slot begins to take its document.
+    """
     key = F.xxhash64("doc_id", "text", "source")
     mixed = mixing.mix(docs.select(key.alias("doc_id"), "text", "source"))
-    times = F.round(F.max("taken") / F.greatest(F.max("size"), F.lit(1))).cast("int")
-    times = mixed.groupBy(F.col("doc_id").alias("_key")).agg(times.alias("_times")).where("_times > 0")
+    # equal rows are taken as the one that is taken most
+    most = F.max(F.struct("taken", "size", "at", "slots"))
+    times = mixed.groupBy(F.col("doc_id").alias("_key")).agg(most.alias("m")).select("_key", F.round(F.col("m.taken") / F.greatest(F.col("m.size"), F.lit(1))).cast("int").alias("_times"), F.col("m.at").alias("_at"), F.col("m.slots").alias("_slots")).where("_times > 0")
     taken = docs.withColumn("_key", key).join(times.hint("shuffle_hash"), "_key")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    copies = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return copies.withColumn("_slot", F.get("_slots", F.col("_copy") - 1)).orderBy("_slot", "_at", "_key").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

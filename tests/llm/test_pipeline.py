@@ -85,6 +85,20 @@ def test_mixing_stage(outputs):
         assert abs(taken[str(r["source"])] - r["target"]) <= longest
 
 
+def test_mixing_order(spark, outputs):
+    _, before, _ = outputs[3]
+    # the stage's rows in the order in which they come
+    after = corpus_pipeline.mix_sources(spark, before, "").collect()
+    begin = {}
+    for r in mixing.mix(before.selectExpr("struct(doc_id, text, source) as doc_id", "text", "source")).collect():
+        begin.setdefault((r["doc_id"]["doc_id"], r["doc_id"]["text"]), set()).update(r["slots"])
+    last = -1
+    for r in after:
+        assert (later := [s for s in begin[r["doc_id"], r["text"]] if s >= last])
+        last = min(later)
+    assert len({r["source"] for r in after[: len(after) // 4]}) > 1
+
+
 def test_encoding_stage(outputs):
     from tokenizers import Tokenizer
 

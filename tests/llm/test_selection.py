@@ -97,6 +97,45 @@ def test_schedule_spreads_sources(spark):
         assert all(abs(seen[k] - upto * w) <= 4 for k, w in (("a", 0.6), ("b", 0.3), ("c", 0.1)))
 
 
+def test_slots_make_the_mix(spark):
+    rows = [(k, " ".join(["w"] * 10), "abc"[min(k % 10 // 4, 2)]) for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs, slots=1000).collect()
+    size, target = Counter(), {r["source"]: r["target"] for r in found}
+    for r in found:
+        size[r["source"]] += r["size"]
+    # blocks of ten words; golden-ratio points through the cumulative targets, until each is met
+    wanted = {s: round(t) for s, t in target.items()}
+    blocks = {s: size[s] // 10 for s in size}
+    ranks = {s: wanted[s] // size[s] * blocks[s] + -(-(wanted[s] % size[s]) // 10) for s in size}
+    upto, total = {}, 0
+    for s in sorted(ranks):
+        upto[s] = (total, total := total + ranks[s])
+    slots = {s: [] for s in ranks}
+    for n in range(3 * total):
+        u = (n * mixing.GOLDEN) % 1 * total
+        s = next(s for s, (a, b) in upto.items() if a <= u < b)
+        if len(slots[s]) < ranks[s]:
+            slots[s].append(n)
+    for s in slots:
+        taken = [0] * blocks[s]
+        for j in range(len(slots[s])):
+            taken[j % blocks[s]] += 10
+        short = -wanted[s] % 10 if wanted[s] % size[s] else 0
+        taken[(len(slots[s]) - 1) % blocks[s]] -= short
+        of = sorted((r["at"] // 10, r["taken"], r["slots"]) for r in found if r["source"] == s)
+        assert of == [(k, taken[k], slots[s][k :: blocks[s]]) for k in range(blocks[s])]
+
+
+def test_slots_fill_small_sources(spark):
+    sources = spark.createDataFrame([(f"k{k:03}", 1, 1, 1.0) for k in range(300)] + [("l", 1, 100_000, 100_000.0)], "key string, n long, source_size long, target double")
+    plan = mixing.schedule(sources, F.lit(100).cast("long"), 1000).collect()
+    taken = Counter()
+    for r in plan:
+        taken[r["key"]] += r["tokens"]
+    assert len(taken) == 301 and taken["l"] == 100_000 and taken["k007"] == 1 and len({r["slot"] for r in plan}) == len(plan)
+
+
 def test_mixing_empty(empty, docs):
     assert mixing.mix(empty).count() == 0
     assert {r["taken"] for r in mixing.mix(docs.where("text is null")).collect()} == {0}

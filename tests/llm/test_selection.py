@@ -183,6 +183,17 @@ def test_cutoffs_hold_their_guarantee(spark):
     assert sum(not r["kept"] for r in good) <= 0.25 * len(good)
 
 
+def test_cutoffs_count_all_good_documents(spark):
+    rnd = random.Random(4)
+    rows = [(k, k % 2, float(rnd.randint(0, 5000)) if k % 3 else rnd.random()) for k in range(60_000)]
+    good = spark.createDataFrame(rows, "doc_id long, stratum int, x double").repartition(5)
+    found = {(r["stratum"], r["rule"]): r for r in quality.cutoffs(good, {"x": lambda: F.col("x"), "low": lambda: -F.col("x")}).collect()}
+    assert found.keys() == {(s, r) for s in (0, 1) for r in ("x", "low")}
+    for (s, rule), r in found.items():
+        values = sorted((x if rule == "x" else -x for _, t, x in rows if t == s), reverse=True)
+        assert (r["holdout"], r["cutoff"]) == (30_000, values[r["allowed"]])
+
+
 def test_quality_without_labels(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["kept"] != r["base_failed"] for r in quality.judge(docs, labels).collect())

@@ -22,8 +22,6 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 #: False rejections of good documents that a stratum may have, and the risk that it has more anywhere.
 ALPHA, DELTA = 0.05, 0.05
-#: Good documents of a stratum that the holdout keeps at most, by the hash of their id.
-HOLDOUT = 20_000
 #: Strata by number of words: upper ends.
 LENGTHS = (100, 400, 1600)
 #: Rules: what is too high.
@@ -84,18 +82,25 @@ def stratum() -> Column:
     return out
 
 
-def cutoffs(good: DataFrame, rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA, holdout: int = HOLDOUT) -> DataFrame:
-    """(stratum, rule, cutoff, allowed, holdout) from the good documents' features, at most one row for each stratum and rule."""
+def cutoffs(good: DataFrame, rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, rule, cutoff, allowed, holdout) from the good documents' features, at most one row for each stratum and rule.
+
+    All good documents are the holdout. Values are counted, and the counts summed up over ranges of values, so
+    that no task holds a stratum.
+    """
     tests = len(rules) * (len(LENGTHS) + 1)
-    # documents whose hash is among the lowest: few times the holdout, whatever the size
-    counts = good.groupBy("stratum").agg(F.count("*").alias("_all"))
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    drawn = good.join(F.broadcast(counts), "stratum").where(order / F.lit(float(1 << 40)) * F.col("_all") < 2 * holdout).drop("_all")
-    kept = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("stratum").orderBy(order, "doc_id"))).where(F.col("_n") <= holdout)
-    sizes = kept.groupBy("stratum").agg(F.count("*").alias("holdout")).withColumn("allowed", allowed(F.col("holdout"), alpha / len(rules), delta / tests))
-    values = kept.select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), f().alias("value")) for r, f in rules.items()))).alias("x")).select("stratum", "x.*")
-    ranked = values.withColumn("_r", F.row_number().over(Window.partitionBy("stratum", "rule").orderBy(F.desc("value"))) - 1)
-    return ranked.join(F.broadcast(sizes), "stratum").where("allowed >= 0 and _r = allowed").select("stratum", "rule", F.col("value").alias("cutoff"), "allowed", "holdout")
+    sizes = good.groupBy("stratum").agg(F.count("*").alias("holdout")).withColumn("allowed", allowed(F.col("holdout"), alpha / len(rules), delta / tests))
+    values = good.select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), f().alias("value")) for r, f in rules.items()))).alias("x")).select("stratum", "x.*")
+    counts = values.groupBy("stratum", "rule", "value").agg(F.count("*").alias("n")).repartitionByRange("stratum", "rule", F.desc("value"))
+    counts = stored(counts.withColumn("part", F.spark_partition_id()), "counts")
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.groupBy("stratum", "rule", "part").agg(F.sum("n").alias("n"))
+    parts = parts.withColumn("_first", upto(Window.partitionBy("stratum", "rule").orderBy("part"))).drop("n")
+    inner = counts.withColumn("_inner", upto(Window.partitionBy("stratum", "rule", "part").orderBy(F.desc("value"))))
+    # values before this one, the highest first
+    ranked = inner.join(parts, ["stratum", "rule", "part"]).withColumn("_r", F.col("_first") + F.col("_inner"))
+    found = ranked.join(F.broadcast(sizes), "stratum").where("allowed >= 0 and _r <= allowed and allowed < _r + n")
+    return found.select("stratum", "rule", F.col("value").alias("cutoff"), "allowed", "holdout")
 
 
 def judge(docs: DataFrame, labels: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:

@@ -260,6 +260,17 @@ def test_url_ratio(spark):
     assert got["bad.net/spam"] < 0 < got["good.net/é😀"]
 
 
+def test_urls_are_judged_whole(spark):
+    urls = [f"http://good.org/a?ref=news{k}#top" for k in range(60)] + [f"http://bad.com/a?sid=spam{k}#ad" for k in range(60)]
+    urls += ["http://x.net/p?ref=news7#top", "http://x.net/p?sid=spam7#ad", "http://x.net/p"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r["page_id"]: r for r in url_filter.judge(pages, [("allow", "good.org", "/"), ("block", "bad.com", "/")]).collect()}
+    good, bad, bare = (found[k] for k in (120, 121, 122))
+    assert good["score"] > 0 > bad["score"]
+    assert len({good["score"], bad["score"], bare["score"]}) == 3
+    assert all((r["host"], r["path"]) == ("x.net", "/p") for r in (good, bad, bare))
+
+
 def test_url_empty(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
 

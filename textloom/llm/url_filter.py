@@ -1,7 +1,8 @@
 """URL filters: rules first, then a character language-model ratio.
 
 Urls that rules allow or block train two variable-order Markov models (characters after up to
-four others; absolute discounting, backing off through contexts that were seen). Urls without a
+four others; absolute discounting, backing off through contexts that were seen). The models read
+whole urls, with scheme, query and fragment; rules read host and path. Urls without a
 rule are judged by the difference of the two log-likelihoods by length,
 against a threshold calibrated on held-out ruled urls. Columns only; no Python on the rows.
 """
@@ -98,22 +99,22 @@ def threshold(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, score) of every row.
 
-    rules: (allow or block, host, path); score is null where a rule decides. Null urls and urls without '://' are
-    empty hosts and paths, judged as such. Without ruled urls of both kinds all ratios are 0 and urls are allowed.
+    rules: (allow or block, host, path); score is null where a rule decides. Null urls and urls without '://' have
+    empty hosts and paths; the models read a null url as an empty one. Without ruled urls of both kinds all ratios are 0 and urls are allowed.
     """
     rule, verdict = ruled(rules)
-    rows = parsed(pages.select(id_col, url_col), url_col).withColumn("rule", rule).withColumn("rule_verdict", verdict).drop(url_col)
-    # equal addresses are judged once
-    distinct = stored(rows.groupBy("host", "path").agg(F.first("rule").alias("rule"), F.first("rule_verdict").alias("verdict"), F.count("*").alias("n")).withColumn("url", F.concat("host", "path")), "urls")
+    rows = parsed(pages.select(id_col, F.coalesce(url_col, F.lit("")).alias("_url")), "_url").withColumn("rule", rule).withColumn("rule_verdict", verdict)
+    # equal urls are judged once
+    distinct = stored(rows.groupBy(F.col("_url").alias("url")).agg(F.first("rule").alias("rule"), F.first("rule_verdict").alias("verdict"), F.count("*").alias("n")), "urls")
     calibrates = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
     training = distinct.where(F.col("rule").isNotNull() & ~calibrates).select("url", "n", F.when(F.col("verdict") == "allow", 1).otherwise(0).alias("cls"))
     training = stored(grams(training).groupBy("cls", "gram").agg(F.sum("n").alias("n")), "url_grams")
-    asked = distinct.where(F.col("rule").isNull() | calibrates).select("host", "path", "url", "verdict", "n")
+    asked = distinct.where(F.col("rule").isNull() | calibrates).select("url", "verdict", "n")
     each = grams(asked)
     table = stored(ratios(training, each), "url_ratios")
-    summed = each.select("host", "path", "gram").join(table, "gram").groupBy("host", "path").agg(F.sum("ratio").alias("sum"), F.count("*").alias("length"))
-    scores = stored(asked.join(summed, ["host", "path"]).select("host", "path", "verdict", "n", (F.col("sum") / F.col("length") / 1e6).alias("score")), "url_scores")
+    summed = each.select("url", "gram").join(table, "gram").groupBy("url").agg(F.sum("ratio").alias("sum"), F.count("*").alias("length"))
+    scores = stored(asked.join(summed, "url").select("url", "verdict", "n", (F.col("sum") / F.col("length") / 1e6).alias("score")), "url_scores")
     cut = threshold(scores.where(F.col("verdict").isNotNull()))
-    lm = scores.where(F.col("verdict").isNull()).select("host", "path", "score")
-    judged = rows.join(lm, ["host", "path"], "left")
+    lm = scores.where(F.col("verdict").isNull()).select(F.col("url").alias("_url"), "score")
+    judged = rows.join(lm, "_url", "left")
     return judged.select(id_col, "host", "path", "rule", F.coalesce("rule_verdict", F.when(F.col("score") >= F.lit(cut), F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"), "score")

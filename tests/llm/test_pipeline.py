@@ -89,12 +89,14 @@ def test_mixing_order(spark, outputs):
     _, before, _ = outputs[3]
     # the stage's rows in the order in which they come
     after = corpus_pipeline.mix_sources(spark, before, "").collect()
+    keyed = before.selectExpr("xxhash64(doc_id, text, source) as key", "doc_id", "text", "source")
+    of = {r["key"]: (r["doc_id"], r["text"], r["source"]) for r in keyed.collect()}
     begin = {}
-    for r in mixing.mix(before.selectExpr("struct(doc_id, text, source) as doc_id", "text", "source")).collect():
-        begin.setdefault((r["doc_id"]["doc_id"], r["doc_id"]["text"]), set()).update(r["slots"])
+    for r in mixing.mix(keyed.select(keyed["key"].alias("doc_id"), "text", "source")).collect():
+        begin.setdefault(of[r["doc_id"]], set()).update(r["slots"])
     last = -1
     for r in after:
-        assert (later := [s for s in begin[r["doc_id"], r["text"]] if s >= last])
+        assert (later := [s for s in begin[r["doc_id"], r["text"], r["source"]] if s >= last])
         last = min(later)
     assert len({r["source"] for r in after[: len(after) // 4]}) > 1
 

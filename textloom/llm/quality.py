@@ -1,11 +1,12 @@
 """Quality rules whose cutoffs carry a guarantee on false rejections.
 
-Each rule rejects what exceeds a cutoff of one feature. In each stratum the labelled good
-documents form the holdout; the cutoff is the order statistic that leaves k of them above,
-k being the largest count for which the exact binomial bound keeps the rule's false
-rejection rate below its share of `alpha`, at a confidence that is corrected for
-the number of strata and rules. Too small a holdout allows no rejection at
-all. Columns only; no Python on the rows.
+Each rule rejects what exceeds a cutoff of one feature. In each stratum, unlabelled documents give the
+possible cutoffs, quantiles at fixed levels, and labelled bad documents the order in which they are taken
+up, the most telling first. This fixes a sequence of ever stricter rule sets without a look at the
+labelled good documents, the holdout. They test it step by step: a set is certified while the exact
+binomial bound, at a confidence that is corrected for the number of strata, keeps its rate of false
+rejections below `alpha`; the first one that isn't ends the sequence, so that the tests within a stratum need no further correction.
+Strata with too few good documents to certify anything join their neighbours. Columns only; no Python on the rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Words of a window that counts as repeated when found twice.
 WINDOW = 8
 #: False rejections of good documents that a stratum may have, and the risk that it has more anywhere.
-ALPHA, DELTA = 0.05, 0.05
+ALPHA, DELTA = 0.02, 0.05
+#: Shares of a stratum that a rule alone may reject, its possible cutoffs.
+LEVELS = (0.002, 0.005, 0.01, 0.02, 0.04, 0.08, 0.16, 0.32)
 #: Strata by number of words: upper ends.
 LENGTHS = (100, 400, 1600)
 #: Rules: what is too high.
@@ -82,39 +85,96 @@ def stratum() -> Column:
     return out
 
 
-def cutoffs(good: DataFrame, rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff, allowed, holdout) from the good documents' features, at most one row for each stratum and rule.
+def merged(sizes: dict[int, int], alpha: float, delta: float) -> dict[int, int]:
+    """The stratum that each of 0 to len(LENGTHS) joins: neighbours go together until the holdout can certify a rule set at all.
 
-    All good documents are the holdout. Values are counted, and the counts summed up over ranges of values, so
-    that no task holds a stratum.
+    sizes: good documents by stratum. A rest at the end joins the group before it.
+    """
+    import math
+
+    groups: list[list[int]] = [[]]
+    for s in range(len(LENGTHS) + 1):
+        groups[-1].append(s)
+        # as if every stratum were a test of its own: fewer tests ask for less
+        if sum(sizes.get(x, 0) for x in groups[-1]) * math.log1p(-alpha) <= math.log(delta / (len(LENGTHS) + 1)) and s < len(LENGTHS):
+            groups.append([])
+    if len(groups) > 1 and sum(sizes.get(x, 0) for x in groups[-1]) * math.log1p(-alpha) > math.log(delta / (len(LENGTHS) + 1)):
+        last = groups.pop()
+        groups[-1] += last
+    return {s: g[0] for g in groups for s in g}
+
+
+def quantiles(values: DataFrame, levels: tuple[float, ...]) -> DataFrame:
+    """(stratum, rule, level, cutoff): the value that at most level * n of the n values of (stratum, rule) exceed, of (stratum, rule, value).
+
+    Values are counted, and the counts summed up over ranges of values, so that no task holds a stratum.
     """
-    tests = len(rules) * (len(LENGTHS) + 1)
-    sizes = good.groupBy("stratum").agg(F.count("*").alias("holdout")).withColumn("allowed", allowed(F.col("holdout"), alpha / len(rules), delta / tests))
-    values = good.select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), f().alias("value")) for r, f in rules.items()))).alias("x")).select("stratum", "x.*")
     counts = values.groupBy("stratum", "rule", "value").agg(F.count("*").alias("n")).repartitionByRange("stratum", "rule", F.desc("value"))
     counts = stored(counts.withColumn("part", F.spark_partition_id()), "counts")
     upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = counts.groupBy("stratum", "rule", "part").agg(F.sum("n").alias("n"))
-    parts = parts.withColumn("_first", upto(Window.partitionBy("stratum", "rule").orderBy("part"))).drop("n")
+    totals = parts.groupBy("stratum", "rule").agg(F.sum("n").alias("total"))
+    parts = parts.withColumn("_first", upto(Window.partitionBy("stratum", "rule").orderBy("part"))).drop("n").join(totals, ["stratum", "rule"])
     inner = counts.withColumn("_inner", upto(Window.partitionBy("stratum", "rule", "part").orderBy(F.desc("value"))))
     # values before this one, the highest first
     ranked = inner.join(parts, ["stratum", "rule", "part"]).withColumn("_r", F.col("_first") + F.col("_inner"))
-    found = ranked.join(F.broadcast(sizes), "stratum").where("allowed >= 0 and _r <= allowed and allowed < _r + n")
-    return found.select("stratum", "rule", F.col("value").alias("cutoff"), "allowed", "holdout")
+    wanted = F.array(*(F.struct(F.lit(x).alias("level"), F.floor(F.col("total") * x).alias("rank")) for x in levels))
+    hit = F.filter(wanted, lambda x: (x["rank"] >= F.col("_r")) & (x["rank"] < F.col("_r") + F.col("n")))
+    return ranked.select("stratum", "rule", F.col("value").alias("cutoff"), F.explode(hit).alias("x")).select("stratum", "rule", "x.level", "cutoff")
+
 
+def valued(docs: DataFrame, rules: dict) -> DataFrame:
+    """A row (stratum, rule, value) for each document and rule."""
+    return docs.select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), f().cast("double").alias("value")) for r, f in rules.items()))).alias("x")).select("stratum", "x.*")
 
-def judge(docs: DataFrame, labels: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The counts of every row of docs (doc_id, text), base_failed, failed_rule and kept.
 
-    labels (doc_id, quality): quality 1 is good; null labels and ids don't count, repeated ones count once. A table without
-    labels rejects by the base rules alone. failed_rule is the first rule over its cutoff.
+def cutoffs(docs: DataFrame, rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """(stratum, rule, cutoff, steps, allowed, holdout): certified cutoffs, at most one row for each stratum and rule.
+
+    docs: features, stratum, and quality (1 good, 0 bad, null unlabelled). A step is one rule at one level;
+    steps go by how much more of the bad documents they catch than of the unlabelled ones, and those that catch fewer are left
+    out. All good documents are the holdout.
+    """
+    table = stored(quantiles(valued(docs.where(F.col("quality").isNull()), rules), levels), "quantiles")
+    # at most rules * levels rows a stratum
+    of_bad = valued(docs.where("quality = 0"), rules).join(F.broadcast(table), ["stratum", "rule"])
+    caught = of_bad.groupBy("stratum", "rule", "level").agg(F.sum((F.col("value") > F.col("cutoff")).cast("long")).alias("caught"), F.count("*").alias("bad"))
+    lift = (F.coalesce("caught", F.lit(0)) + 1) / (F.coalesce("bad", F.lit(0)) * F.col("level") + 1)
+    steps = table.join(caught, ["stratum", "rule", "level"], "left").withColumn("lift", lift).where("lift >= 1")
+    steps = stored(steps.withColumn("step", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("lift"), "rule", "level"))).select("stratum", "rule", "step", "cutoff"), "steps")
+    # the step from which a good document is rejected
+    good = docs.where("quality = 1")
+    path = steps.groupBy("stratum").agg(F.collect_list(F.struct("step", "rule", "cutoff")).alias("path"))
+    value = lambda name: F.coalesce(*(F.when(name == r, f().cast("double")) for r, f in rules.items()))
+    first = F.array_min(F.transform(F.filter("path", lambda s: value(s["rule"]) > s["cutoff"]), lambda s: s["step"]))
+    lost = good.join(F.broadcast(path), "stratum").groupBy("stratum", first.alias("step")).agg(F.count("*").alias("n"))
+    sizes = good.groupBy("stratum").agg(F.count("*").alias("holdout"))
+    tests = F.count("*").over(Window.partitionBy())
+    sizes = sizes.withColumn("allowed", allowed(F.col("holdout"), alpha, delta / tests))
+    running = steps.select("stratum", "step").join(lost, ["stratum", "step"], "left").withColumn("lost", F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("stratum").orderBy("step")))
+    reached = running.join(sizes, "stratum").where("allowed >= 0 and lost <= allowed").groupBy("stratum").agg(F.max("step").alias("steps"), F.first("allowed").alias("allowed"), F.first("holdout").alias("holdout"))
+    return steps.join(reached, "stratum").where("step <= steps").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"), F.first("steps").alias("steps"), F.first("allowed").alias("allowed"), F.first("holdout").alias("holdout"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """The counts of every row of docs (doc_id, text), base_failed, stratum, failed_rule and kept.
+
+    labels (doc_id, quality): quality 1 is good, 0 bad; null labels and ids don't count, repeated ones count once, at their
+    least. Without enough good labels, or without unlabelled documents, the base rules alone reject. failed_rule is the
+    first rule over its cutoff. Null texts have no words; repeated rows are judged alike; an empty table stays empty.
     """
     counted = stored(base_counts(docs.select("doc_id", "text")).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))).withColumn("stratum", stratum()), "quality")
-    liked = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    found = cutoffs(counted.where(~F.col("base_failed")).join(liked, "doc_id", "left_semi"), rules, alpha, delta)
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    features = [c for c in counted.columns if c not in ("doc_id", "base_failed")]
+    tested = stored(counted.where(~F.col("base_failed")).join(known, "doc_id", "left").select(*features, "quality"), "labelled")
+    # one row a stratum
+    sizes = {r["stratum"]: r["n"] for r in tested.where("quality = 1").groupBy("stratum").agg(F.count("*").alias("n")).collect()}
+    joins = merged(sizes, alpha, delta)
+    joined = F.element_at(F.array(*(F.lit(joins[s]) for s in sorted(joins))), F.col("stratum") + 1)
+    found = cutoffs(tested.withColumn("stratum", joined), rules, alpha, delta, levels)
     # one row a stratum, one column a rule
     wide = found.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in rules))
-    judged = counted.join(F.broadcast(wide), "stratum", "left")
+    judged = counted.withColumn("stratum", joined).join(F.broadcast(wide), "stratum", "left")
     failed = F.coalesce(*(F.when(f() > F.col(f"_cut_{r}"), F.lit(r)) for r, f in rules.items()))
     judged = judged.withColumn("failed_rule", F.when(~F.col("base_failed"), failed)).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
     return judged.drop(*(f"_cut_{r}" for r in rules))

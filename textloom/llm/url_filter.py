@@ -52,29 +52,37 @@ def grams(urls: DataFrame) -> DataFrame:
     return d.withColumn("gram", F.explode(each)).drop("_chars")
 
 
-def by_order(df: DataFrame) -> DataFrame:
-    """A row for each context length 0 to ORDER of each gram."""
-    size = F.length("gram")
-    return df.withColumn("k", F.explode(F.array(*(F.lit(k) for k in range(ORDER + 1))))).withColumn("context", F.substr("gram", size - F.col("k"), F.col("k"))).withColumn("char", F.substr("gram", size, F.lit(1)))
+def suffix(gram: Column, k: int) -> Column:
+    """A gram's character after k others."""
+    return F.substr(gram, F.length(gram) - k, F.lit(k + 1))
 
 
 def ratios(training: DataFrame, wanted: DataFrame) -> DataFrame:
     """(gram, ratio) of the distinct grams wanted: log-likelihood of accepted less rejected, in millionths.
 
-    training: (cls 1 accepted or 0 rejected, gram, n).
+    training: (cls 1 accepted or 0 rejected, gram, n). Likelihoods grow from the shortest context to the longest, one
+    table of distinct suffixes each: a key meets as many rows as there are characters before or after it, however often
+    it occurs.
     """
-    counts = by_order(training).groupBy("cls", "k", "context", "char").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy("cls", "k", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    asked = by_order(wanted.select("gram").distinct()).withColumn("cls", F.explode(F.array(F.lit(0), F.lit(1))))
-    met = asked.join(totals, ["cls", "k", "context"], "left").join(counts, ["cls", "k", "context", "char"], "left")
-    of_class = lambda c: F.array_sort(F.collect_list(F.when(F.col("cls") == c, F.struct("k", "total", "kinds", F.coalesce("n", F.lit(0)).alias("n")))))
-    lists = settled(met.groupBy("gram").agg(of_class(0).alias("a0"), of_class(1).alias("a1")), a0=F.col("a0"), a1=F.col("a1"))
-
-    def likelihood(name: str) -> Column:
-        step = lambda p, x: F.when(x["total"].isNull(), p).otherwise((F.greatest(x["n"] - DISCOUNT, F.lit(0.0)) + DISCOUNT * x["kinds"] * p) / x["total"])
-        return F.log(F.aggregate(F.col(name), F.lit(FLOOR), step))
-
-    return lists.select("gram", F.round((likelihood("a1") - likelihood("a0")) * 1e6).cast("long").alias("ratio"))
+    orders = range(ORDER + 1)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), suffix(F.col("gram"), k).alias("s")) for k in orders))).alias("x")
+    of = lambda c, x: F.sum(F.when(F.col("cls") == c, x))
+    seen = training.select("cls", "n", each).groupBy("x.k", "x.s").agg(of(0, F.col("n")).alias("n0"), of(1, F.col("n")).alias("n1"))
+    seen = stored(seen, "url_counts")
+    context = F.substr("s", F.lit(1), F.col("k"))
+    totals = stored(seen.groupBy("k", context.alias("context")).agg(*(f(f"n{c}").alias(f"{name}{c}") for c in (0, 1) for name, f in (("total", F.sum), ("kinds", F.count)))), "url_contexts")
+    grams_ = stored(wanted.select("gram").distinct(), "url_wanted")
+    before = None
+    for k in orders:
+        asked = grams_.select(suffix(F.col("gram"), k).alias("s")).distinct().withColumn("context", F.substr("s", F.lit(1), F.lit(k)))
+        met = asked.join(totals.where(F.col("k") == k).drop("k"), "context", "left").join(seen.where(F.col("k") == k).drop("k"), "s", "left")
+        if before is None:
+            met = met.withColumns({"p0": F.lit(FLOOR), "p1": F.lit(FLOOR)})
+        else:
+            met = met.withColumn("shorter", F.substr("s", F.lit(2), F.lit(k))).join(before, "shorter")
+        p = lambda c: F.when(F.col(f"total{c}").isNull(), F.col(f"p{c}")).otherwise((F.greatest(F.coalesce(f"n{c}", F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds{c}") * F.col(f"p{c}")) / F.col(f"total{c}"))
+        before = met.select(F.col("s").alias("shorter"), p(0).alias("p0"), p(1).alias("p1"))
+    return before.select(F.col("shorter").alias("gram"), F.round((F.log("p1") - F.log("p0")) * 1e6).cast("long").alias("ratio"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -100,7 +108,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     """(id, host, path, rule, verdict, score) of every row.
 
     rules: (allow or block, host, path); score is null where a rule decides. Null urls and urls without '://' have
-    empty hosts and paths; the models read a null url as an empty one. Without ruled urls of both kinds all ratios are 0 and urls are allowed.
+    empty hosts and paths; the models read a null url as an empty one. Without ruled urls of both kinds the threshold is 0, and without any all
+    ratios are; a ratio at the threshold allows. Repeated rows are judged alike; an empty table stays empty.
     """
     rule, verdict = ruled(rules)
     rows = parsed(pages.select(id_col, F.coalesce(url_col, F.lit("")).alias("_url")), "_url").withColumn("rule", rule).withColumn("rule_verdict", verdict)

@@ -38,28 +38,28 @@ class LanguageModel:
         return hashlib.sha256(b"\0".join([repr(self.languages).encode(), *self.dictionaries])).hexdigest()
 
 
-def fit(labelled: DataFrame, docs_per_language: int = 160, max_chars: int = 8_000, dictionary_bytes: int = 131_072, max_languages: int = 64) -> LanguageModel:
+def fit(labelled: DataFrame, docs_per_language: int = 160, max_chars: int = 8_000, dictionary_bytes: int = 131_072, sample_bytes: int = 64 << 20) -> LanguageModel:
     """Dictionaries from (text, lang) rows; null texts and null languages don't count.
 
-    Bounds of the sample, all that reaches the driver: docs_per_language texts, of at most
-    max_chars characters, for each of the max_languages most frequent languages. The
-    sample goes by the hash of the text, each text once, so that reruns agree.
+    All languages get one. Bounds of the sample, all that reaches the driver: at most docs_per_language texts
+    a language, the first max_chars characters of each, until dictionary_bytes are full, or an equal share of sample_bytes
+    where languages are many. The sample goes by the hash of the text, each text once, so that reruns agree.
     """
     known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts")).orderBy(F.desc("n"), "lang").collect()
     usual = [r["lang"] for r in counts]
+    room = min(dictionary_bytes, sample_bytes // max(len(usual), 1))
     # only texts whose hash is among the lowest are looked at: few times the sample, whatever the size
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, 6 * docs_per_language / max(r["texts"], 1))).otherwise(share)
-    unit = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = known.where((F.length("text") <= max_chars) & (unit < share)).distinct()
-    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 40)), "text")
-    sample = drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs_per_language).orderBy("lang", "_n").collect()
-    found = []
-    for lang in usual:
-        texts = list(dict.fromkeys(r["text"].lower().encode() for r in sample if r["lang"] == lang))
-        found.append(b"\n".join(texts)[:dictionary_bytes])
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, 6 * docs_per_language / max(r["texts"], 1))) for r in counts], "lang string, share double")
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    drawn = known.join(F.broadcast(shares), "lang").where(place / F.lit(float(1 << 40)) < F.col("share")).select("lang", place.alias("place"), F.lower(F.substring("text", 1, max_chars)).alias("text")).distinct()
+    order = Window.partitionBy("lang").orderBy("place", "text")
+    upto = F.sum(F.octet_length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    sample = drawn.withColumns({"n": F.row_number().over(order), "upto": F.coalesce(upto, F.lit(0))}).where((F.col("n") <= docs_per_language) & (F.col("upto") < room)).orderBy("lang", "n").collect()
+    texts: dict[str, list[bytes]] = {}
+    for r in sample:
+        texts.setdefault(r["lang"], []).append(r["text"].encode())
+    found = [b"\n".join(texts.get(lang, []))[:room] for lang in usual]
     kept = [k for k, d in enumerate(found) if len(d) >= 8]
     return LanguageModel(tuple(usual[k] for k in kept), tuple(found[k] for k in kept))
 
@@ -94,7 +94,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     """Adds lang_pred, score and lang_rejected to every row.
 
     `und`, score 0 and rejected where the text is null or has no letter. Whole texts
-    count. Columns of those names are replaced; an empty table stays empty.
+    count. Equal sizes go to the language with more training texts and leave no margin, so that they are rejected; repeated rows
+    are judged alike. Columns of those names are replaced; an empty table stays empty.
     """
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())]
     keep = [c for c in docs.columns if c not in {f.name for f in added}]
@@ -102,7 +103,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     key = model.key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = once(f"langid:{key}", lambda: compressors(model))
+        tools = once(f"langid:{key}", lambda: compressors(model), large=True)
         for b in batches:
             found = [predict(model, tools, t.as_py()) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_())))], [*keep, *(f.name for f in added)])

@@ -62,6 +62,22 @@ def test_counts_and_cache(spark, docs, rows):
     assert stored.count() <= len({r[1] or "" for r in rows}) + 2
 
 
+def test_query_uses_an_earlier_cache(spark, docs, tmp_path):
+    from textloom.llm.queries import op7_token_counts
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    cache = str(tmp_path / "cache")
+    spark.conf.set("spark.textloom.tokenCache", cache)
+    try:
+        first = sorted(op7_token_counts(spark, str(tmp_path)).collect(), key=str)
+        held = spark.read.parquet(cache).count()
+        assert sorted(op7_token_counts(spark, str(tmp_path)).collect(), key=str) == first
+        assert spark.read.parquet(cache).count() == held
+        assert all(r["over_limit"] == (r["n_tokens"] > 4096) for r in first) and any(r["over_limit"] for r in first)
+    finally:
+        spark.conf.unset("spark.textloom.tokenCache")
+
+
 def test_units_count_as_whole_texts():
     import sentencepiece
 

@@ -55,7 +55,9 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), fresh_path(spark, "token_cache"))
+    # a cluster that names a folder keeps its counts from run to run
+    cache = spark.conf.get("spark.textloom.tokenCache", None) or fresh_path(spark, "token_cache")
+    counted = token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), cache)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 

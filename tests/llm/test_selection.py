@@ -50,6 +50,29 @@ def test_language_of_long_texts(spark):
     assert language_id.predict(model, tools, changed)[0] == "de"
 
 
+def test_rare_languages_and_long_texts_train(spark):
+    rnd = random.Random(11)
+    made = {f"l{k:02}": "".join(chr(0x4E00 + 10 * k + j) for j in range(9)) for k in range(70)}
+    text = lambda letters, n: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 6))) for _ in range(n))
+    known = [(text(letters, 40 if lang != "l69" else 4000), lang) for lang, letters in made.items() for _ in range(3)]
+    model = language_id.fit(spark.createDataFrame(known, "text string, lang string"), sample_bytes=70 * 2000)
+    assert set(model.languages) == set(made) and max(map(len, model.dictionaries)) <= 2000
+    asked = spark.createDataFrame([(lang, text(letters, 30)) for lang, letters in made.items()], "lang string, text string")
+    assert sum(r["lang"] == r["lang_pred"] for r in language_id.identify(asked, model).collect()) >= 66
+
+
+def test_language_query(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = queries.op4_language_id(spark, sf).collect()
+    assert len(found) == len(lang)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in found)
+    asked = [r for r in found if r["held_out"] and r["lang_pred"] != "und" and lang[r["doc_id"]]]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in asked) >= 0.97 * len(asked) > 200
+
+
 def test_language_without_training(docs, empty):
     model = language_id.fit(empty.select("text", "lang"))
     assert {r["lang_pred"] for r in language_id.identify(docs, model).collect()} == {"und"}
@@ -172,26 +195,116 @@ def test_exact_binomial_bound(spark):
     assert got == {n: largest(n, 0.01, 0.05) if n else -1 for n in ns}
 
 
-def test_cutoffs_hold_their_guarantee(spark):
+def largest_allowed(n, alpha, delta):
+    total, k = 0.0, -1
+    for x in range(n + 1):
+        total += math.comb(n, x) * alpha**x * (1 - alpha) ** (n - x)
+        if total > delta:
+            return k
+        k = x
+    return k
+
+
+def brute_cutoffs(rows, alpha, delta, levels, rules):
+    """rows: (stratum, quality or None, {rule: value}); certified cutoffs by stratum and rule."""
+    out, strata = {}, sorted({r[0] for r in rows})
+    tests = len({s for s, q, _ in rows if q == 1})
+    for s in strata:
+        groups = {q: [v for t, p, v in rows if t == s and p == q] for q in (None, 0, 1)}
+        steps = []
+        for rule in rules if groups[None] else []:
+            values = sorted((v[rule] for v in groups[None]), reverse=True)
+            for level in levels:
+                cut = values[math.floor(len(values) * level)]
+                caught = sum(v[rule] > cut for v in groups[0])
+                steps.append((-(caught + 1) / (len(groups[0]) * level + 1), rule, level, cut))
+        steps = sorted(x for x in steps if -x[0] >= 1)
+        most = largest_allowed(len(groups[1]), alpha, delta / max(tests, 1)) if groups[1] else -1
+        lost = set()
+        for _, rule, _, cut in steps:
+            lost |= {k for k, v in enumerate(groups[1]) if v[rule] > cut}
+            if len(lost) > most:
+                break
+            out[s, rule] = min(out.get((s, rule), math.inf), cut)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(150, 900, 260), (40, 60, 30), (0, 0, 0)])
+def test_cutoffs_by_brute_force(spark, sizes):
+    rnd = random.Random(sum(sizes))
+    rows = []
+    for s, n in enumerate(sizes):
+        for quality_, count in ((1, n), (0, n // 5), (None, 400)):
+            rows += [(s, quality_, {"x": round(rnd.gauss(3.0 if quality_ == 0 or rnd.random() < 0.05 else 0.0, 1), 2), "low": float(rnd.randint(0, 9))}) for _ in range(count)]
+    table = spark.createDataFrame([(s, q, v["x"], v["low"]) for s, q, v in rows], "stratum int, quality int, x double, low double").repartition(3)
+    rules = {"x": lambda: F.col("x"), "low": lambda: F.col("low")}
+    found = {(r["stratum"], r["rule"]): r["cutoff"] for r in quality.cutoffs(table, rules, 0.05, 0.05, (0.01, 0.05, 0.1, 0.3)).collect()}
+    assert found == pytest.approx(brute_cutoffs(rows, 0.05, 0.05, (0.01, 0.05, 0.1, 0.3), ["x", "low"]))
+    assert bool(found) == (sizes[1] > 100)
+
+
+def test_thin_strata_join():
+    assert quality.merged({}, 0.05, 0.05) == {0: 0, 1: 0, 2: 0, 3: 0}
+    assert quality.merged({0: 50, 1: 200, 2: 90, 3: 10}, 0.05, 0.05) == {0: 0, 1: 0, 2: 2, 3: 2}
+    assert quality.merged({0: 500, 1: 500, 2: 500, 3: 500}, 0.05, 0.05) == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_guarantee_by_simulation(spark):
+    """The true rate of false rejections stays below alpha but for a share delta of the draws."""
+    rnd = random.Random(12)
+    rows = []
+    for draw in range(60):
+        for quality_, count in ((1, 180), (0, 40), (None, 300)):
+            rows += [(draw, quality_, round(rnd.gauss(1.2 if quality_ == 0 or quality_ is None and rnd.random() < 0.2 else 0.0, 1), 3)) for _ in range(count)]
+    table = spark.createDataFrame(rows, "stratum int, quality int, x double")
+    # each stratum is a draw of its own, at its own confidence
+    found = quality.cutoffs(table, {"x": lambda: F.col("x")}, 0.05, 60 * 0.05).collect()
+    rates = [0.5 * math.erfc(r["cutoff"] / math.sqrt(2)) for r in found]
+    assert len(rates) >= 20 and sum(x > 0.05 for x in rates) <= 8
+
+
+@pytest.fixture(scope="module")
+def scarce(spark):
+    """Few labels, as in a small table: 4 of 5 documents have none."""
     rnd = random.Random(3)
-    rows = [(k, " ".join("w" * rnd.randint(2, 9) for _ in range(60)) + " #" * (rnd.randint(0, 2) if k % 10 else 50)) for k in range(1500)]
-    labels = spark.createDataFrame([(k, int(k % 10 != 0), 0) for k in range(1500)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
-    found = quality.judge(spark.createDataFrame(rows, "doc_id long, text string"), labels, alpha=0.25).collect()
-    bad = [r for r in found if r["doc_id"] % 10 == 0]
-    good = [r for r in found if r["doc_id"] % 10]
-    assert all(not r["kept"] for r in bad)
-    assert sum(not r["kept"] for r in good) <= 0.25 * len(good)
-
-
-def test_cutoffs_count_all_good_documents(spark):
-    rnd = random.Random(4)
-    rows = [(k, k % 2, float(rnd.randint(0, 5000)) if k % 3 else rnd.random()) for k in range(60_000)]
-    good = spark.createDataFrame(rows, "doc_id long, stratum int, x double").repartition(5)
-    found = {(r["stratum"], r["rule"]): r for r in quality.cutoffs(good, {"x": lambda: F.col("x"), "low": lambda: -F.col("x")}).collect()}
-    assert found.keys() == {(s, r) for s in (0, 1) for r in ("x", "low")}
-    for (s, rule), r in found.items():
-        values = sorted((x if rule == "x" else -x for _, t, x in rows if t == s), reverse=True)
-        assert (r["holdout"], r["cutoff"]) == (30_000, values[r["allowed"]])
+    rows, labels = [], []
+    for k in range(1200):
+        bad = k % 8 == 0
+        words = ["w" * rnd.randint(2, 9) for _ in range(rnd.choice((30, 60, 150, 500)))]
+        rows.append((k, " ".join(w + "#" * 3 if bad and rnd.random() < 0.3 else w for w in words)))
+        if k % 3 == 0:
+            labels.append((k, 0 if bad else 1, 0))
+    rows += [(None, "null id " * 30), (5000, None), (5001, ""), (5001, "")]
+    labels += [(None, 1, 0), (3, None, 0), (9, 1, 0)]
+    return rows, labels
+
+
+def test_verdicts_by_brute_force(spark, scarce):
+    rows, labels = scarce
+    found = quality.judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    known = {}
+    for i, q, _ in labels:
+        if i is not None and q is not None:
+            known[i] = min(known.get(i, q), q)
+
+    def features(text):
+        w, lines = W.findall(text or ""), [x for x in (text or "").split("\n") if W.search(x)]
+        c = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        again = len({k + d for k in range(len(w) - 7) if c[tuple(w[k : k + 8])] > 1 for d in range(8)})
+        chars = sum(map(len, w))
+        n = max(len(w), 1)
+        return len(w), again, {"symbols": len(re.findall(r"[#*$%&|<>]", text or "")) / max(chars, 1), "dup_lines": (len(lines) - len(set(lines))) / max(len(lines), 1), "repeats": again / n, "long_words": chars / n, "short_words": -chars / n}
+
+    made = [(i, *features(t)) for i, t in rows]
+    failed = [n < 20 or 100 * again > 30 * n for _, n, again, _ in made]
+    base = [sum(n >= x for x in quality.LENGTHS) for _, n, _, _ in made]
+    sizes = Counter(s for s, f, (i, *_) in zip(base, failed, made) if not f and known.get(i) == 1)
+    joins = quality.merged(sizes, quality.ALPHA, quality.DELTA)
+    cuts = brute_cutoffs([(joins[s], known.get(i), v) for s, f, (i, _, _, v) in zip(base, failed, made) if not f], quality.ALPHA, quality.DELTA, quality.LEVELS, list(quality.RULES))
+    expected = sorted((str(i), not f and all(v[r] <= cuts.get((joins[s], r), math.inf) for r in v)) for s, f, (i, _, _, v) in zip(base, failed, made))
+    assert sorted((str(r["doc_id"]), r["kept"]) for r in found) == expected
+    rejected = [r["doc_id"] for r in found if not r["kept"] and not r["base_failed"]]
+    assert len(rejected) > 100 and sum(i % 8 == 0 for i in rejected) > 0.9 * len(rejected)
 
 
 def test_quality_without_labels(spark, docs, empty):
@@ -271,6 +384,36 @@ def test_urls_are_judged_whole(spark):
     assert all((r["host"], r["path"]) == ("x.net", "/p") for r in (good, bad, bare))
 
 
+def test_verdicts_of_unruled_urls_by_brute_force(spark):
+    rnd = random.Random(17)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(2, 7)))
+    urls = [f"http://{'good.org' if k % 2 else 'bad.com'}/{word('aeiou' if k % 2 else 'xyzk')}/{word('abcde')}" for k in range(300)]
+    urls += [f"http://new.net/{word('aeiou' if k % 2 else 'xyzk')}" for k in range(40)] + [None, "", "no scheme"]
+    rows = list(enumerate(urls)) + [(900, urls[0]), (901, urls[300])]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    found = {r["page_id"]: r for r in url_filter.judge(pages, [("allow", "good.org", "/"), ("block", "bad.com", "/")]).collect()}
+    n = Counter(u or "" for _, u in rows)
+    ruled = {u: "allow" if "good.org" in u else "block" for u in n if "good.org" in u or "bad.com" in u}
+    held = {r["url"] for r in pages.select("url").distinct().where(f"pmod(xxhash64(url), {url_filter.HELD_OUT}) = 0").collect()}
+    training = [(int(v == "allow"), u, n[u]) for u, v in ruled.items() if u not in held]
+    grams = Counter()
+    for c, u, w in training:
+        grams[c] += w
+    score = lambda u: brute_ratio(training, u) / (len(u) + 1) / 1e6
+    scored = [(score(u), v, n[u]) for u, v in ruled.items() if u in held]
+    good, bad = (sum(w for _, v, w in scored if v == x) for x in ("allow", "block"))
+    at = [0.0] + [math.floor(max(-url_filter.RANGE, min(url_filter.RANGE, s)) * url_filter.BINS) / url_filter.BINS for s, _, _ in scored]
+    binned = lambda s: math.floor(max(-url_filter.RANGE, min(url_filter.RANGE, s)) * url_filter.BINS) / url_filter.BINS
+    loss = lambda t: (sum(w for s, v, w in scored if v == "allow" and binned(s) < t) / good + 1 - sum(w for s, v, w in scored if v == "block" and binned(s) < t) / bad, abs(t), t)
+    cut = min([(1.0, 0.0, 0.0)] + [loss(t) for t in at[1:]])[2]
+    for i, u in rows:
+        if (u or "") not in ruled:
+            assert found[i]["score"] == pytest.approx(score(u or ""), abs=2e-6)
+            if abs(score(u or "") - cut) > 1e-5:
+                assert found[i]["verdict"] == ("allow" if score(u or "") >= cut else "block")
+    assert sum(found[k]["score"] * (1 if k % 2 else -1) for k in range(300, 340)) > 1
+
+
 def test_url_empty(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
 
@@ -296,5 +439,22 @@ def test_top_k(spark, monkeypatch, rows_a_block):
     assert sorted(map(tuple, found)) == sorted(expected)
 
 
+@pytest.mark.parametrize("decay, most", [(0.0, 0.6), (0.05, 0.35)])
+def test_bounds_stop_reading(decay, most):
+    """Shares of the lists that are read: vectors without any structure, and with less spread on later axes."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (8192, 64)) * np.exp(-decay * np.arange(64))
+    axes, _ = np.linalg.qr(rng.normal(0, 1, (64, 64)))
+    x = x @ axes
+    v = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])
+    lists = topk.Lists(v)
+    for i in range(0, 8192, 400):
+        rows, scores = topk.search(lists, v[i], np.arange(len(v)) == i, 5)
+        s = v @ v[i]
+        best = [j for j in np.lexsort((np.arange(len(v)), -s)) if j != i][:5]
+        assert rows.tolist() == best and scores.tolist() == s[best].tolist()
+    assert lists.read < most * lists.whole
+
+
 def test_top_k_empty(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Where a sentence may end: closing punctuation, white space, then something that may start one.
@@ -67,14 +67,43 @@ def phrase_pattern(phrase: str) -> str:
 
 
 def match_casing(source: Column, target: Column) -> Column:
-    """target in source's casing: all capitals (of two letters or more), initial capital, or as it is."""
-    first = F.substring(source, 1, 1)
+    """target in source's casing: all capitals (of two letters or more, whatever else there is), initial capital, or as it is."""
+    letters = F.regexp_replace(source, r"\P{L}", "")
     capital = F.concat(F.upper(F.substring(target, 1, 1)), F.substr(target, F.lit(2)))
-    shouting = (F.upper(source) == source) & (F.lower(source) != source) & (F.length(source) > 1)
-    return F.when(shouting, F.upper(target)).when((F.upper(first) == first) & (F.lower(first) != first), capital).otherwise(target)
+    shouting = (F.length(letters) > 1) & ~letters.rlike(r"\P{Lu}")
+    return F.when(shouting, F.upper(target)).when(source.rlike(r"^\p{Lu}"), capital).otherwise(target)
 
 
-ROMAN = r"^(?=[IVXLCDM])M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$"
+#: Parts between marks that one fold goes over: offsets cost the square of this at most for each.
+FOLD = 64
+
+
+def located(df: DataFrame, name: str, parts: Column) -> DataFrame:
+    """Adds name, array of struct(text, start): parts of a text, that follow each other, with their offsets; in the row, without a shuffle."""
+    from ..operators.settle import settled
+
+    typed = lambda kind: F.array().cast(f"array<{kind}>")
+    d = settled(df, _parts=parts)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_parts") - 1) / FOLD).cast("int")), lambda k: F.slice(F.col("_parts"), k * FOLD + 1, F.lit(FOLD)))
+    d = settled(d, _blocks=F.when(F.size("_parts") > 0, blocks).otherwise(typed("array<string>"))).drop("_parts")
+    size = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x))
+    step = lambda acc, n: F.named_struct(F.lit("at"), acc["at"] + n, F.lit("out"), F.concat(acc["out"], F.array(acc["at"])))
+    begin = F.named_struct(F.lit("at"), F.lit(0), F.lit("out"), typed("int"))
+    d = settled(d, _starts=F.aggregate(F.transform("_blocks", size), begin, step, lambda acc: acc["out"]))
+
+    def fold(block: Column, at: Column) -> Column:
+        own = lambda acc, x: F.named_struct(F.lit("at"), acc["at"] + F.length(x), F.lit("out"), F.concat(acc["out"], F.array(F.named_struct(F.lit("text"), x, F.lit("start"), acc["at"]))))
+        return F.aggregate(block, F.named_struct(F.lit("at"), at, F.lit("out"), typed("struct<text:string,start:int>")), own, lambda acc: acc["out"])
+
+    return settled(d, **{name: F.flatten(F.zip_with("_blocks", "_starts", fold))}).drop("_blocks", "_starts")
+
+
+#: A numeral's core, fixed value of the writing.
+ROMAN_CORE = r"M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})"
+#: With the ending of an ordinal, or without.
+ROMAN = rf"^(?=[IVXLCDM]){ROMAN_CORE}è?$"
+#: Words before a single letter that make it a numeral, fixed values; so does any capitalised word.
+ROMAN_CONTEXT = ("segle", "segles", "s", "ss", "capítol", "capítols", "cap", "volum", "volums", "vol", "tom", "toms", "part", "parts", "llibre", "llibres", "acte", "actes", "escena", "escenes", "títol", "títols", "annex", "annexos", "article", "articles", "art", "secció", "seccions", "apartat", "apartats", "papa", "rei", "reina", "emperador", "emperadriu", "comte", "comtessa", "duc", "duquessa", "fase", "fases", "nivell", "nivells", "grau", "graus", "classe", "tipus", "categoria", "fitxa", "lliçó", "lliçons", "unitat", "unitats", "quadre", "quadres", "taula", "taules", "figura", "figures", "mapa", "mapes", "làmina", "làmines", "cant", "cants", "número", "núm", "n", "concili", "dinastia", "legió", "districte", "regió")
 
 
 def is_roman(text: Column) -> Column:

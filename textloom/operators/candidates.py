@@ -8,12 +8,8 @@ from pyspark.sql import functions as F
 from .rules import spliced
 from .settle import settled
 
-#: Proposals of a sentence that combine; the pool limit of the search.
-POOL = 8
-
-
-def pool(proposals: DataFrame, limit: int = POOL) -> DataFrame:
-    return proposals.where(F.col("prop_ix") <= limit)
+#: Candidates of a sentence that are built, for 24 candidates in the end: every single edit, then combinations in order.
+POOL = 84
 
 
 def pairs(proposals: DataFrame) -> DataFrame:
@@ -44,11 +40,11 @@ def combinations(proposals: DataFrame, most: int = 3) -> DataFrame:
 def build(proposals: DataFrame, most: int = 3, limit: int = POOL) -> DataFrame:
     """Candidates with their texts: (doc_id, lang, sent_ix, sentence, members, chosen, candidate, n_edits).
 
-    The same combinations as by joining, enumerated inside each sentence's row: one shuffle
-    for any number of edits.
+    Every single edit is one; then come pairs and triples, in the order of their members, up to `limit` candidates.
+    They are enumerated inside each sentence's row: one shuffle for any number of edits.
     """
     edit = F.struct("prop_ix", "start", "end", "after", "family", "confidence", "risk")
-    rows = pool(proposals, limit).groupBy("doc_id", "sent_ix").agg(F.first("lang").alias("lang"), F.first("sentence").alias("sentence"), F.array_sort(F.collect_list(edit)).alias("edits"))
+    rows = proposals.groupBy("doc_id", "sent_ix").agg(F.first("lang").alias("lang"), F.first("sentence").alias("sentence"), F.array_sort(F.collect_list(edit)).alias("edits"))
     rows = settled(rows, edits=F.col("edits"), places=F.sequence(F.lit(0), F.size("edits") - 1))
     of = lambda i: F.get(F.col("edits"), i)
     apart = lambda i, j: (of(i)["end"] <= of(j)["start"]) | (of(j)["end"] <= of(i)["start"])
@@ -60,7 +56,10 @@ def build(proposals: DataFrame, most: int = 3, limit: int = POOL) -> DataFrame:
             fits = lambda j: (j > F.element_at(c, -1)) & F.forall(c, lambda i: apart(i, j))
             return F.transform(F.filter(F.col("places"), fits), lambda j: F.concat(c, F.array(j)))
 
-        sets = settled(sets, last=F.flatten(F.transform("last", longer)))
+        # where the pool is full, nothing longer is made
+        room = F.greatest(F.lit(limit) - F.size("all"), F.lit(0))
+        made = F.when(room > 0, F.slice(F.flatten(F.transform("last", longer)), F.lit(1), room)).otherwise(F.array().cast("array<array<int>>"))
+        sets = settled(sets, last=made)
         sets = settled(sets, all=F.concat("all", "last"))
     each = sets.select("doc_id", "lang", "sent_ix", "sentence", "edits", F.explode("all").alias("picked"))
     each = each.withColumn("chosen", F.transform("picked", of)).drop("edits", "picked")

@@ -9,24 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: (lang, form, function, register)
 CONNECTORS = [
-    ("en", "and", "addition", "neutral"), ("en", "with", "addition", "formal"), ("en", "for", "cause", "neutral"), ("en", "as", "cause", "formal"), ("en", "that", "purpose", "neutral"),
+    ("en", "and", "addition", "neutral"), ("en", "with", "addition", "formal"), ("en", "for", "cause", "neutral"), ("en", "as", "cause", "formal"), ("en", "that", "purpose", "neutral"), ("en", "the and", "addition", "formal"),
     ("fr", "et", "addition", "neutral"), ("fr", "avec", "addition", "formal"), ("fr", "pour", "purpose", "neutral"), ("fr", "par", "cause", "formal"),
     ("de", "und", "addition", "neutral"), ("de", "mit", "addition", "formal"), ("de", "als", "cause", "neutral"), ("de", "für", "purpose", "neutral"),
     ("es", "y", "addition", "neutral"), ("es", "con", "addition", "formal"), ("es", "por", "cause", "neutral"), ("es", "para", "purpose", "neutral"),
 ]
 #: (lang, source, target, confidence, risk)
 LEXICON = [
-    ("en", "this", "such a", 0.9, "low"), ("en", "from", "out of", 0.7, "medium"), ("en", "at", "near", 0.6, "high"), ("en", "by", "through", 0.8, "low"), ("en", "it", "it", 0.9, "none"),
+    ("en", "this", "such a", 0.9, "low"), ("en", "from", "out of", 0.7, "medium"), ("en", "at", "near", 0.6, "high"), ("en", "by", "through", 0.8, "low"), ("en", "it", "it", 0.9, "none"), ("en", "the of", "of the", 0.8, "low"), ("en", "and the", "as well as the", 0.7, "low"),
     ("fr", "dans", "au sein de", 0.8, "low"), ("fr", "sur", "au-dessus de", 0.6, "medium"), ("fr", "pas", "point", 0.7, "high"),
     ("de", "auf", "oberhalb von", 0.7, "medium"), ("de", "nicht", "kaum", 0.5, "high"), ("de", "eine", "irgendeine", 0.8, "low"),
-    ("es", "una", "alguna", 0.8, "low"), ("es", "su", "el propio", 0.7, "medium"), ("es", "no", "nunca", 0.5, "high"),
+    ("es", "una", "alguna", 0.8, "low"), ("es", "su", "el propio", 0.7, "medium"), ("es", "no", "nunca", 0.5, "high"), ("es", "de la", "de aquella", 0.8, "low"),
 ]
 #: (lang, kind, marker): each counted on its own
 MARKERS = [
-    ("en", "negation", "it"), ("en", "hedge", "as"), ("en", "certainty", "is"),
+    ("en", "negation", "it"), ("en", "hedge", "as"), ("en", "certainty", "is"), ("en", "hedge", "of the"), ("en", "negation_exception", "it is"),
     ("fr", "negation", "pas"), ("fr", "hedge", "un"), ("fr", "certainty", "est"),
     ("de", "negation", "nicht"), ("de", "hedge", "als"), ("de", "certainty", "ist"),
-    ("es", "negation", "no"), ("es", "hedge", "se"), ("es", "certainty", "es"),
+    ("es", "negation", "no"), ("es", "hedge", "se"), ("es", "certainty", "es"), ("es", "certainty", "de la"),
 ]
 #: (lang, group, variant, form)
 VARIANTS = [

@@ -2,33 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|gener|febrer|març|abril|maig|juny|juliol|agost|setembre|octubre|novembre|desembre|enero|febrero|marzo|mayo|junio|julio|agosto|septiembre|noviembre|diciembre|janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|décembre|Januar|Februar|März|Juni|Juli|Oktober|Dezember"
 #: kind -> (context before, what is protected, context after); no lookaround, so that any engine reads them.
 DETECTORS = {
     "number": ("", r"[+-]?\d+(?:[.,:]\d+)*(?:[ ]?[%€$]|[ºª])?", ""),
     "date": ("", rf"\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}/\d{{2}}/\d{{2}}|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|\d{{1,2}} (?:de |d')?(?:{MONTHS}) (?:de |del )?\d{{4}}", ""),
-    "quotation": ("", r'«[^«»\n]*»|“[^“”\n]*”|"[^"\n]*"', ""),
+    "quotation": ("", r'«[^«»\n]*»|“[^“”\n]*”|"[^"\n]*"|‘[^‘’\n]*’', ""),
     "citation": ("", r"\([^()\n]*\d{4}[^()\n]*\)|\[\d+(?:[,–-] ?\d+)*\]|(?:pp?|vol|cap|núm|fig)\. ?\d+|ibid\.", ""),
-    "roman": (r"^|[^\p{L}]", r"[IVXLCDM]{2,}", r"$|[^\p{L}]"),
+    "roman": (r"^|[^\p{L}]", r"[IVXLCDM]{2,}è?", r"$|[^\p{L}]"),
+    "roman_letter": (rf"(?:^|[^\p{{L}}])(?:{'|'.join(X.ROMAN_CONTEXT)}|\p{{Lu}}\p{{L}}*)\.?\s+", "[IVXLCDM]è?", r"$|[^\p{L}]"),
     "proper_noun": (r"[\p{Ll}\d,;:] ", r"\p{Lu}\p{Ll}+(?: (?:(?:de|del|of|von|van|la) )?\p{Lu}\p{Ll}+)*", ""),
 }
+#: What a match must be besides, by kind.
+VALID = {"roman": f"^{X.ROMAN_CORE}è?$"}
 
 
 def detect(docs: DataFrame, keys: list[str], text: str, kind: str, detectors: dict = DETECTORS) -> DataFrame:
     """(keys, kind, fragment, start, end) of one detector's matches.
 
-    Matches are marked in the text and the text cut at the marks, so that offsets are
-    sums of lengths, in characters.
+    Offsets count characters; no row leaves its place.
+    """
+    found = spans_in(docs, "_spans", F.col(text), (kind,), detectors)
+    return found.select(*keys, F.explode("_spans").alias("s")).select(*keys, "s.kind", "s.fragment", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+
+
+def spans_in(df: DataFrame, name: str, text: Column, kinds, detectors: dict = DETECTORS) -> DataFrame:
+    """Adds name, array of struct(kind, fragment, start, end): the matches of all kinds in the row's text.
+
+    Matches are marked in the text and the text cut at the marks, so that offsets are sums of lengths.
     """
-    before, what, after = detectors[kind]
-    marked = F.regexp_replace(F.col(text), f"({before})({what})({after})", "$1\x01$2\x01$3")
-    rows = docs.select(*keys, F.posexplode(F.split(marked, "\x01")).alias("_ix", "fragment"))
-    upto = Window.partitionBy(*keys).orderBy("_ix").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum(F.length("fragment")).over(upto).cast("long")).where("_ix % 2 = 1")
-    return rows.select(*keys, F.lit(kind).alias("kind"), "fragment", (F.col("end") - F.length("fragment")).alias("start"), "end")
+    out, made = df, []
+    for kind in kinds:
+        before, what, after = detectors[kind]
+        marked = F.regexp_replace(text, f"({before})({what})({after})", "$1\x01$2\x01$3")
+        out = X.located(out, f"{name}_{kind}", F.coalesce(F.split(marked, "\x01"), F.array().cast("array<string>")))
+        odd = F.filter(f"{name}_{kind}", lambda x, i: i % 2 == 1)
+        if kind in VALID:
+            odd = F.filter(odd, lambda x: x["text"].rlike(VALID[kind]))  # noqa: B023
+        made.append(F.transform(odd, lambda x: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("fragment"), x["text"], F.lit("start"), x["start"], F.lit("end"), x["start"] + F.length(x["text"]))))  # noqa: B023
+    return out.withColumn(name, F.concat(*made)).drop(*(f"{name}_{k}" for k in kinds))
 
 
 def widest(spans: DataFrame, by: list[str]) -> DataFrame:

@@ -11,48 +11,112 @@ from .segmentation import sentence_rows
 
 def word_spans(sentences: DataFrame, keys: list[str]) -> DataFrame:
     """Each word of a sentence with its offsets: (keys, sent_ix, sentence, pos, word, start, end, following)."""
+    return phrases(sentences, keys, 1).drop("n").withColumnRenamed("phrase", "word")
+
+
+def phrases(sentences: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Runs of one to `most` words with nothing but white space between: (keys, sent_ix, sentence, pos, n, phrase, start, end, following).
+
+    pos counts words, start and end characters; following is the next word in lower case, null at the end. Other columns of
+    sentences stay. All in the sentence's row, without a shuffle.
+    """
     marked = F.regexp_replace("sentence", f"({X.WORD})", "\x01$1\x01")
-    rows = sentences.select(*keys, "sent_ix", "sentence", F.posexplode(F.split(marked, "\x01")).alias("_ix", "word"))
-    key = [*keys, "sent_ix"]
-    upto = Window.partitionBy(*key).orderBy("_ix")
-    rows = rows.withColumn("end", F.sum(F.length("word")).over(upto.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).withColumn("following", F.lower(F.lead("word", 2).over(upto)))
-    return rows.where("_ix % 2 = 1").select(*keys, "sent_ix", "sentence", F.expr("_ix div 2").alias("pos"), "word", (F.col("end") - F.length("word")).alias("start"), "end", "following")
+    rows = X.located(sentences, "_parts", F.split(marked, "\x01"))
+    part = lambda i: F.get(F.col("_parts"), i)
+
+    def run(k: Column, n: int) -> Column:
+        """The n words from the k-th on, null where there is more than space between."""
+        first = 2 * k + 1
+        text = part(first)["text"] if n == 1 else F.array_join(F.transform(F.slice(F.col("_parts"), first + 1, F.lit(2 * n - 1)), lambda x: x["text"]), "")
+        inside = F.lit(True)
+        for j in range(1, n):
+            inside = inside & part(first + 2 * j - 1)["text"].rlike(r"^\s+$") & part(first + 2 * j).isNotNull()
+        start = part(first)["start"]
+        made = F.named_struct(F.lit("pos"), k, F.lit("n"), F.lit(n), F.lit("phrase"), text, F.lit("start"), start.cast("long"), F.lit("end"), (start + F.length(text)).cast("long"), F.lit("following"), F.lower(part(first + 2 * n)["text"]))
+        return made if n == 1 else F.when(F.coalesce(inside, F.lit(False)), made)
+
+    n_words = F.floor(F.size("_parts") / 2).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.greatest(n_words - 1, F.lit(0))), lambda k: F.array(*(run(k, n) for n in range(1, most + 1))))
+    each = F.when(n_words > 0, F.filter(F.flatten(each), lambda x: x.isNotNull())) if most > 1 else F.when(n_words > 0, F.flatten(each))
+    kept = [c for c in sentences.columns if c not in (*keys, "sent_ix", "sentence")]
+    return rows.select(*keys, "sent_ix", "sentence", *kept, F.explode(each).alias("_w")).select(*keys, "sent_ix", "sentence", *kept, "_w.*")
+
+
+def words_of(table: DataFrame, form: str) -> int:
+    """Words of the longest form of a dimension table; 1 of an empty one."""
+    return int(table.agg(F.max(F.size(F.split(F.trim(form), r"\s+"))).alias("n")).first()["n"] or 1)
+
+
+def substitutions(lexicon: DataFrame) -> DataFrame:
+    """A lexicon (lang, source_form, target_form, confidence, risk) as replacements anywhere."""
+    return lexicon.select("lang", X.normal_form(F.col("source_form")).alias("form"), "target_form", "confidence", "risk", F.lit("LEXICAL").alias("family"), F.lit(False).alias("initial"))
+
+
+def swaps(table: DataFrame, registers=("neutral", "formal")) -> DataFrame:
+    """Other members of a connector's function (lang, form, function, register) as replacements at a sentence's start."""
+    other = table.where(F.col("register").isin(*registers)).select("lang", "function", F.col("form").alias("target_form"))
+    met = table.select("lang", X.normal_form(F.col("form")).alias("form"), "function").join(other, ["lang", "function"]).where("form <> target_form").drop("function").distinct()
+    return met.select("lang", "form", "target_form", F.lit(0.8).alias("confidence"), F.lit("low").alias("risk"), F.lit("CONNECTOR").alias("family"), F.lit(True).alias("initial"))
+
+
+def avoided(dictionary: DataFrame) -> DataFrame:
+    """A dictionary (lang, term, preferred, avoid; the last two arrays) as replacements of avoided forms by the first preferred one, or the term."""
+    target = F.coalesce(F.get("preferred", F.lit(0)), F.col("term"))
+    rows = dictionary.select("lang", target.alias("target_form"), F.explode("avoid").alias("form"))
+    return rows.select("lang", X.normal_form(F.col("form")).alias("form"), "target_form", F.lit(0.95).alias("confidence"), F.lit("low").alias("risk"), F.lit("LEXICAL").alias("family"), F.lit(False).alias("initial"))
+
+
+def replaced(sentences: DataFrame, keys: list[str], table: DataFrame) -> DataFrame:
+    """Replacements of all forms in all sentences, in the casing of what they replace; one pass, for forms of any number of words.
+
+    A connector starts its sentence and never echoes the word after it. table: (lang, form, target_form, confidence, risk, family, initial).
+    """
+    found = phrases(sentences, keys, words_of(table, "form")).withColumn("form", X.normal_form(F.col("phrase")))
+    met = found.join(table, ["lang", "form"]).where("(not initial or pos = 0) and not (initial and following <=> target_form)")
+    kept = [c for c in sentences.columns if c not in (*keys, "sent_ix", "sentence")]
+    return met.select(*keys, "sent_ix", "sentence", *kept, "start", "end", F.col("phrase").alias("before"), X.match_casing(F.col("phrase"), F.col("target_form")).alias("after"), "family", "confidence", "risk")
 
 
 def lexical(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Substitutions by (lang, source_form, target_form, confidence, risk), in the casing of what they replace."""
-    words = word_spans(sentence_rows(docs, ["doc_id", "lang"]), ["doc_id", "lang"]).withColumn("source_form", X.normal_form(F.col("word")))
-    met = words.join(lexicon, ["lang", "source_form"])
-    return met.select("doc_id", "lang", "sent_ix", "sentence", "start", "end", F.col("word").alias("before"), X.match_casing(F.col("word"), F.col("target_form")).alias("after"), F.lit("LEXICAL").alias("family"), "confidence", "risk")
+    """Substitutions by a lexicon."""
+    return replaced(sentence_rows(docs, ["doc_id", "lang"]), ["doc_id", "lang"], substitutions(lexicon))
 
 
 def connector_swaps(docs: DataFrame, table: DataFrame, registers=("neutral", "formal")) -> DataFrame:
-    """Other members of a connector's function at a sentence start; none that echoes the next word."""
-    other = table.select("lang", "function", F.col("form").alias("target_form"), F.col("register").alias("_r")).where(F.col("_r").isin(*registers))
-    words = word_spans(sentence_rows(docs, ["doc_id", "lang"]), ["doc_id", "lang"]).where("pos = 0").withColumn("form", X.normal_form(F.col("word")))
-    met = words.join(table.select("lang", "form", "function"), ["lang", "form"]).join(other, ["lang", "function"]).where("form <> target_form and not (following <=> target_form)")
-    return met.select("doc_id", "lang", "sent_ix", "sentence", "start", "end", F.col("word").alias("before"), X.match_casing(F.col("word"), F.col("target_form")).alias("after"), F.lit("CONNECTOR").alias("family"), F.lit(0.8).alias("confidence"), F.lit("low").alias("risk"))
+    """Other members of a connector's function at a sentence start."""
+    return replaced(sentence_rows(docs, ["doc_id", "lang"]), ["doc_id", "lang"], swaps(table, registers))
 
 
 def numbered(proposals: DataFrame) -> DataFrame:
     """prop_ix by confidence, risk and place: the order in which candidates are built."""
-    level = F.when(F.col("risk") == "none", 0).when(F.col("risk") == "low", 1).when(F.col("risk") == "medium", 2).otherwise(3)
-    order = Window.partitionBy("doc_id", "sent_ix").orderBy(F.desc("confidence"), level, "start", "end", "after")
+    order = Window.partitionBy("doc_id", "sent_ix").orderBy(F.desc("confidence"), level(F.col("risk")), "start", "end", "after")
     return proposals.withColumn("prop_ix", F.row_number().over(order).cast("long"))
 
 
-def gate(proposals: DataFrame, spans: DataFrame, max_risk: int = 2, min_confidence: float = 0.6) -> DataFrame:
+def level(risk: Column) -> Column:
+    return F.when(risk == "none", 0).when(risk == "low", 1).when(risk == "medium", 2).otherwise(3)
+
+
+def occurrences(text: Column, fragment: Column) -> Column:
+    """How often fragment stands in text, without overlaps."""
+    return (F.length(text) - F.length(F.replace(text, fragment, F.lit("")))) / F.greatest(F.length(fragment), F.lit(1))
+
+
+def gate(proposals: DataFrame, max_risk: int = 2, min_confidence: float = 0.6) -> DataFrame:
     """Adds reason, null where accepted: identity, text, protected, risk, confidence, in this order.
 
-    spans (doc_id, sent_ix, start, end) are protected; an edit inside one, or one that it cuts, is refused.
+    proposals have `spans`, the protected spans of their sentence. An edit that cuts one, or lies inside one, is
+    refused; one that holds a span whole must keep its text as often as before.
     """
-    level = F.when(F.col("risk") == "none", 0).when(F.col("risk") == "low", 1).when(F.col("risk") == "medium", 2).otherwise(3)
-    s = spans.select("doc_id", "sent_ix", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hit = proposals.join(s, ["doc_id", "sent_ix"]).where((F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end"))).select("doc_id", "sent_ix", "start", "end").distinct().withColumn("_hit", F.lit(True))
-    found = proposals.join(hit, ["doc_id", "sent_ix", "start", "end"], "left")
-    there = F.substr("sentence", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-    reason = F.when(F.col("before") == F.col("after"), "identity").when(there != F.col("before"), "text").when(F.col("_hit"), "protected").when(level > max_risk, "risk").when(F.col("confidence") < min_confidence, "confidence")
-    return found.withColumn("reason", reason).drop("_hit")
+    start, end = F.col("start"), F.col("end")
+
+    def hurt(s: Column) -> Column:
+        whole = (s["start"] >= start) & (s["end"] <= end)
+        return (s["start"] < end) & (start < s["end"]) & (~whole | (occurrences(F.col("after"), s["fragment"]) < occurrences(F.col("before"), s["fragment"])))
+
+    there = F.substr("sentence", (start + 1).cast("int"), (end - start).cast("int"))
+    reason = F.when(F.col("before") == F.col("after"), "identity").when(there != F.col("before"), "text").when(F.exists("spans", hurt), "protected").when(level(F.col("risk")) > max_risk, "risk").when(F.col("confidence") < min_confidence, "confidence")
+    return proposals.withColumn("reason", reason)
 
 
 def spliced(text: Column, edits: Column) -> Column:

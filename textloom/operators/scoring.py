@@ -47,6 +47,11 @@ class Mode:
     high: float
     weights: Weights
 
+    @property
+    def pool(self) -> int:
+        """Candidates of a sentence that are built; single edits always are."""
+        return max(self.max_candidates, min(4 * self.max_candidates, self.max_candidates + 60))
+
 
 CONSERVATIVE = Mode(1, 0.75, 1, 1, 12, 3, 0.8, 1.25, Weights())
 DEEP = Mode(2, 0.6, 3, 2, 24, 5, 0.6, 1.6, replace(Weights(), structure=0.35, balance=0.06))
@@ -72,11 +77,12 @@ def gain_of(chosen: Column, w: Weights = Weights()) -> Column:
             risk = F.when(e["risk"] == name, value).otherwise(risk)
         return e["confidence"] * F.greatest(F.lit(0.0), 1 - F.lit(w.risk) * risk)
 
-    def fading(name: str) -> Column:
+    def fading(name: Column) -> Column:
         own = F.reverse(F.array_sort(F.transform(F.filter(chosen, lambda e: e["family"] == name), benefit)))
         return F.aggregate(F.transform(own, lambda b, i: b * F.pow(F.lit(w.decay), i.cast("double"))), F.lit(0.0), lambda s, b: s + b)
 
-    return sum((fading(f) for f in ("CONNECTOR", "VERBAL", "EPISTEMIC", "PUNCTUATION")), fading("LEXICAL")) / w.max_transformations
+    families = F.array_sort(F.array_distinct(F.transform(chosen, lambda e: e["family"])))
+    return F.aggregate(F.transform(families, fading), F.lit(0.0), lambda s, b: s + b) / w.max_transformations
 
 
 def style_distance(source: Column, target: Column, mean: float, tolerance: float) -> Column:

@@ -29,9 +29,17 @@ def spaced(text: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(X.words(text), "  "), F.lit(" "))
 
 
+def masked(w: Column, exceptions: list[str]) -> Column:
+    """A spaced text without the exceptions, the longest first."""
+    for e in sorted(exceptions, key=lambda e: (-len(e), e)):
+        w = F.replace(w, F.lit(f" {'  '.join(e.split())} "), F.lit(" \x01 "))
+    return w
+
+
 def marker_counts(w: Column, markers: list[str]) -> Column:
-    """How often each marker occurs in a spaced text; each on its own, overlaps included."""
-    return F.array(*((F.length(w) - F.length(F.replace(w, F.lit(f" {m} "), F.lit("")))) / (len(m) + 2) for m in markers))
+    """How often each marker, of any number of words, occurs in a spaced text; each on its own, overlaps included."""
+    spaced_ = ["  ".join(m.split()) for m in markers]
+    return F.array(*((F.length(w) - F.length(F.replace(w, F.lit(f" {m} "), F.lit("")))) / (len(m) + 2) for m in spaced_))
 
 
 def total(counts: Column) -> Column:
@@ -63,7 +71,7 @@ def grammar_warnings(text: Column) -> Column:
 def validate(candidates: DataFrame, markers: dict[str, list[tuple[str, str]]], low: float = 0.6, high: float = 1.6) -> DataFrame:
     """Adds numeric_ok, negation_ok, modality_ok, length_ok, grammar_ok, warnings and valid to (lang, sentence, candidate).
 
-    markers: language -> [(kind, marker)]. Negations stay as they are, marker by marker; hedges don't
+    markers: language -> [(kind, marker)], kinds negation, hedge, certainty, and negation_exception for phrases that hold no negation. Negations stay as they are, marker by marker; hedges don't
     decrease and certainty doesn't grow; only new defects count.
     """
     s, c = F.col("sentence"), F.col("candidate")
@@ -80,8 +88,11 @@ def validate(candidates: DataFrame, markers: dict[str, list[tuple[str, str]]], l
     def kind(own, k):
         return [m for kk, m in own if kk == k]
 
-    negation = by_lang(lambda own: marker_counts(ws, kind(own, "negation")) == marker_counts(wc, kind(own, "negation")))
-    modality = by_lang(lambda own: (total(marker_counts(wc, kind(own, "hedge"))) >= total(marker_counts(ws, kind(own, "hedge")))) & (total(marker_counts(wc, kind(own, "certainty"))) <= total(marker_counts(ws, kind(own, "certainty")))))
+    def counts(w: Column, own, k: str) -> Column:
+        return marker_counts(masked(w, kind(own, f"{k}_exception")), kind(own, k))
+
+    negation = by_lang(lambda own: counts(ws, own, "negation") == counts(wc, own, "negation"))
+    modality = by_lang(lambda own: (total(counts(wc, own, "hedge")) >= total(counts(ws, own, "hedge"))) & (total(counts(wc, own, "certainty")) <= total(counts(ws, own, "certainty"))))
     out = candidates.withColumn("numeric_ok", numeric(s, c)).withColumn("negation_ok", negation).withColumn("modality_ok", modality).withColumn("length_ok", length_ratio(s, c, low, high))
     out = out.withColumn("grammar_ok", grammar_errors(c) <= grammar_errors(s)).withColumn("warnings", F.greatest(F.lit(0), grammar_warnings(c) - grammar_warnings(s)))
     return out.withColumn("valid", F.col("numeric_ok") & F.col("negation_ok") & F.col("modality_ok") & F.col("length_ok") & F.col("grammar_ok")).drop("_s", "_c")

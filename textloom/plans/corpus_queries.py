@@ -255,7 +255,7 @@ c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) SELECT n, count(*)
     "stream_document_counters": f"""WITH {SENTENCES}, ns AS (SELECT source, count(*) AS n_sentences FROM sentences GROUP BY 1)
 SELECT source, count(*) AS n_documents, sum({n_words("text")})::BIGINT AS n_words, any_value(n_sentences) AS n_sentences, sum(len(text) - len(replace(text, ',', '')))::BIGINT AS n_commas FROM documents JOIN ns USING (source) GROUP BY 1""",
     "roman_values": """WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[IVXLCDM]+')) AS numeral FROM documents),
-v AS (SELECT numeral FROM n WHERE regexp_matches(numeral, '^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$')),
+v AS (SELECT numeral FROM n WHERE regexp_matches(numeral, '^M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})è?$')),
 l AS (SELECT numeral, list_transform(string_split(numeral, ''), lambda c: CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 ELSE 1000 END) AS x FROM v),
 u AS (SELECT numeral, unnest(x) AS a, unnest(list_concat(x[2:], [0])) AS b FROM l)
 SELECT numeral, sum(CASE WHEN a < b THEN -a ELSE a END)::BIGINT AS value FROM u GROUP BY 1""",

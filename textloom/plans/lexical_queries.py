@@ -103,7 +103,7 @@ SELECT lang, CASE WHEN b = '' AND f = '' THEN 'isolated' WHEN b = 'l' AND f <> '
 b AS (SELECT *, sure OR (maybe AND (coalesce(lag(sure) OVER w, false) OR coalesce(lead(sure) OVER w, false))) AS two FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 c AS (SELECT *, two OR (maybe AND (coalesce(lag(two) OVER w, false) OR coalesce(lead(two) OVER w, false))) AS three FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
 SELECT lang, word AS form, CASE WHEN sure THEN 'certain' WHEN three THEN 'contiguous' ELSE 'ambiguous' END AS certainty, count(*) AS n FROM c WHERE sure OR maybe GROUP BY 1, 2, 3""",
-    "token_annotations": f"""WITH t AS (SELECT lang, unnest(regexp_extract_all(text, {q(X.TOKEN)})) AS token FROM documents), k AS (SELECT lang, CASE WHEN len(token) > 1 AND regexp_matches(token, '^[IVXLCDM]+$') AND regexp_matches(token, '^M{{0,3}}(?:CM|CD|D?C{{0,3}})(?:XC|XL|L?X{{0,3}})(?:IX|IV|V?I{{0,3}})$') THEN 'roman_numeral' WHEN token IN {_IN(X.ABBREVIATIONS)} THEN 'abbreviation' END AS subkind FROM t WHERE regexp_matches(token, '^\\p{{L}}'))
+    "token_annotations": f"""WITH t AS (SELECT lang, unnest(regexp_extract_all(text, {q(X.TOKEN)})) AS token FROM documents), k AS (SELECT lang, CASE WHEN len(token) > 1 AND regexp_matches(token, '^[IVXLCDM]+è?$') AND regexp_matches(token, {q(f"^{X.ROMAN_CORE}è?$")}) THEN 'roman_numeral' WHEN token IN {_IN(X.ABBREVIATIONS)} THEN 'abbreviation' END AS subkind FROM t WHERE regexp_matches(token, '^\\p{{L}}'))
 SELECT lang, subkind, count(*) AS n FROM k WHERE subkind IS NOT NULL GROUP BY 1, 2""",
     "kwic_snippets": """WITH d AS (SELECT doc_id, text, regexp_extract(text, '\\d+') AS number FROM documents), p AS (SELECT *, instr(text, number) - 1 AS s FROM d WHERE number <> ''),
 r AS (SELECT *, greatest(0, s - greatest(0, 60 - len(number)) // 2) AS lo FROM p), h AS (SELECT *, least(len(text), lo + 60) AS hi FROM r)

@@ -16,26 +16,27 @@ def markers_by_lang(rows=dimensions.MARKERS) -> dict[str, list[tuple[str, str]]]
     return out
 
 
-def proposals(docs: DataFrame, lexicon: DataFrame | None = None, connectors: DataFrame | None = None) -> DataFrame:
-    spark = docs.sparkSession
-    both = rules.lexical(docs, lexicon if lexicon is not None else dimensions.lexicon(spark)).unionByName(rules.connector_swaps(docs, connectors if connectors is not None else dimensions.connectors(spark)))
-    return rules.numbered(both)
+#: Kinds of content that an edit must keep.
+PROTECTED = ("number", "date", "quotation")
 
 
-def protected(docs: DataFrame) -> DataFrame:
-    """Numbers, dates and quotations in each sentence's offsets."""
-    sentences = segmentation.sentence_rows(docs, ["doc_id"])
-    spans = protect.protect(sentences, ["doc_id", "sent_ix"], "sentence", ("number", "date", "quotation"))
-    return spans.select("doc_id", "sent_ix", "kind", "fragment", "start", "end")
+def proposals(docs: DataFrame, lexicon: DataFrame | None = None, connectors: DataFrame | None = None, dictionary: DataFrame | None = None) -> DataFrame:
+    """Edits of all tables, with the protected spans of their sentence: one scan, one pass over the words, no shuffle of sentences."""
+    spark = docs.sparkSession
+    table = rules.substitutions(lexicon if lexicon is not None else dimensions.lexicon(spark)).unionByName(rules.swaps(connectors if connectors is not None else dimensions.connectors(spark)))
+    if dictionary is not None:
+        table = table.unionByName(rules.avoided(dictionary))
+    sentences = protect.spans_in(segmentation.sentence_rows(docs, ["doc_id", "lang"]), "spans", F.col("sentence"), PROTECTED)
+    return rules.numbered(rules.replaced(sentences, ["doc_id", "lang"], table))
 
 
 def accepted(docs: DataFrame, mode: scoring.Mode = scoring.DEEP, **tables) -> DataFrame:
-    gated = rules.gate(proposals(docs, **tables), protected(docs), mode.max_risk, mode.min_confidence)
-    return rules.numbered(gated.where("reason is null").drop("reason", "prop_ix"))
+    gated = rules.gate(proposals(docs, **tables).drop("prop_ix"), mode.max_risk, mode.min_confidence)
+    return rules.numbered(gated.where("reason is null").drop("reason", "spans"))
 
 
 def scored(docs: DataFrame, mode: scoring.Mode = scoring.DEEP, **tables) -> DataFrame:
-    built = C.distinct(C.build(accepted(docs, mode, **tables), mode.max_edits))
+    built = C.distinct(C.build(accepted(docs, mode, **tables), mode.max_edits, mode.pool))
     return scoring.totals(validation.validate(built, markers_by_lang(), mode.low, mode.high), mode.weights)
 
 

@@ -25,17 +25,13 @@ LEXICON = D.values(D.LEXICON, "lang", "source_form", "target_form", "confidence"
 MARKERS = D.values(D.MARKERS, "lang", "kind", "marker")
 VARIANTS = D.values(D.VARIANTS, "lang", "grp", "variant", "form")
 
-USES = f"""{SENTENCES},
-sw AS (SELECT doc_id, lang, sent_ix, unnest(w) AS form, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, lang, sent_ix, {words("sentence")} AS w FROM sentences)),
-uses AS (SELECT sw.*, c.function, c.register FROM sw JOIN {CONNECTORS} c USING (lang, form))"""
-
-
 def detect_sql(kind: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     before, what, after = protect.DETECTORS[kind]
     marked = f"regexp_replace({text}, {q(f'({before})({what})({after})')}, '\\1' || chr(1) || '\\2' || chr(1) || '\\3', 'g')"
+    valid = f" AND regexp_matches(fragment, {q(protect.VALID[kind])})" if kind in protect.VALID else ""
     return f"""SELECT {key}, '{kind}' AS kind, fragment, (e - len(fragment))::BIGINT AS "start", e::BIGINT AS "end" FROM (
   SELECT {key}, fragment, ix, sum(len(fragment)) OVER (PARTITION BY {key} ORDER BY ix) AS e FROM (
-    SELECT {key}, unnest(p) AS fragment, generate_subscripts(p, 1) AS ix FROM (SELECT {key}, string_split({marked}, chr(1)) AS p FROM {table}))) WHERE ix % 2 = 0"""
+    SELECT {key}, unnest(p) AS fragment, generate_subscripts(p, 1) AS ix FROM (SELECT {key}, string_split({marked}, chr(1)) AS p FROM {table}))) WHERE ix % 2 = 0{valid}"""
 
 
 def detector_query(kind):
@@ -52,34 +48,47 @@ o AS (SELECT *, coalesce(sum(len(piece)) OVER (PARTITION BY doc_id ORDER BY ix R
 n AS (SELECT doc_id, ix, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS sentence, before + len(piece) - len(regexp_replace(piece, '^\\s+', '')) AS st FROM o)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ix) - 1 AS sent_ix, sentence, st AS s, st + len(sentence) AS e FROM n WHERE sentence <> '')"""
 
-WORD_SPANS = f"""{SENTENCES},
-mk AS (SELECT doc_id, lang, sent_ix, sentence, string_split(regexp_replace(sentence, {q(f"({X.WORD})")}, chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM sentences),
+#: WITH ph (doc_id, lang, sent_ix, sentence, pos, n, word, s, e, following, form): runs of one or two words, after SENTENCES.
+PHRASES = f"""mk AS (SELECT doc_id, lang, sent_ix, sentence, string_split(regexp_replace(sentence, {q(f"({X.WORD})")}, chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM sentences),
 mw AS (SELECT doc_id, lang, sent_ix, sentence, unnest(p) AS word, generate_subscripts(p, 1) AS ix FROM mk),
-me AS (SELECT *, sum(len(word)) OVER w AS e, lower(lead(word, 2) OVER w) AS following FROM mw WINDOW w AS (PARTITION BY doc_id, sent_ix ORDER BY ix)),
-ws AS (SELECT doc_id, lang, sent_ix, sentence, ix // 2 - 1 AS pos, word, e - len(word) AS s, e, following FROM me WHERE ix % 2 = 0)"""
+me AS (SELECT *, sum(len(word)) OVER w AS e, lead(word, 1) OVER w AS gap, lead(word, 2) OVER w AS w2, lead(word, 4) OVER w AS w3 FROM mw WINDOW w AS (PARTITION BY doc_id, sent_ix ORDER BY ix)),
+p1 AS (SELECT doc_id, lang, sent_ix, sentence, ix // 2 - 1 AS pos, 1 AS n, word, e - len(word) AS s, e, lower(w2) AS following FROM me WHERE ix % 2 = 0
+  UNION ALL SELECT doc_id, lang, sent_ix, sentence, ix // 2 - 1, 2, word || gap || w2, e - len(word), e + len(gap) + len(w2), lower(w3) FROM me WHERE ix % 2 = 0 AND w2 IS NOT NULL AND regexp_matches(gap, '^\\s+$')),
+ph AS (SELECT *, trim(regexp_replace(regexp_replace(lower(word), '[’‘ʼ`]', '''', 'g'), '\\s+', ' ', 'g')) AS form FROM p1),
+ws AS (SELECT * FROM ph WHERE n = 1)"""
 
-CASED = "CASE WHEN upper(word) = word AND lower(word) <> word AND len(word) > 1 THEN upper(t) WHEN upper(word[1]) = word[1] AND lower(word[1]) <> word[1] THEN upper(t[1]) || t[2:] ELSE t END"
+WORD_SPANS = f"""{SENTENCES},
+{PHRASES}"""
+
+USES = f"""{SENTENCES},
+{PHRASES},
+uses AS (SELECT doc_id, lang, sent_ix, pos, c.form, c.function, c.register FROM ph JOIN {CONNECTORS} c USING (lang, form))"""
+
+
+_LETTERS = "regexp_replace(word, '\\P{L}', '', 'g')"
+CASED = lambda t: f"CASE WHEN len({_LETTERS}) > 1 AND NOT regexp_matches({_LETTERS}, '\\P{{Lu}}') THEN upper({t}) WHEN regexp_matches(word, '^\\p{{Lu}}') THEN upper({t}[1]) || {t}[2:] ELSE {t} END"
 
 PROPOSALS = f"""{WORD_SPANS},
-lx AS (SELECT doc_id, lang, sent_ix, sentence, s, e, word AS before, {CASED.replace("t[", "target_form[").replace("(t)", "(target_form)").replace("ELSE t ", "ELSE target_form ")} AS after, 'LEXICAL' AS family, confidence, risk FROM ws JOIN {LEXICON} l USING (lang) WHERE lower(word) = source_form),
-cx AS (SELECT doc_id, lang, sent_ix, sentence, s, e, word AS before, {CASED.replace("t[", "o.form[").replace("(t)", "(o.form)").replace("ELSE t ", "ELSE o.form ")} AS after, 'CONNECTOR' AS family, 0.8::DOUBLE AS confidence, 'low' AS risk FROM ws JOIN {CONNECTORS} c USING (lang) JOIN {CONNECTORS} o USING (lang, function) WHERE pos = 0 AND lower(word) = c.form AND c.form <> o.form AND following IS DISTINCT FROM o.form),
+lx AS (SELECT doc_id, lang, sent_ix, sentence, s, e, word AS before, {CASED("target_form")} AS after, 'LEXICAL' AS family, confidence, risk FROM ph JOIN {LEXICON} l USING (lang) WHERE form = source_form),
+cx AS (SELECT DISTINCT doc_id, lang, sent_ix, sentence, s, e, word AS before, {CASED("o.form")} AS after, 'CONNECTOR' AS family, 0.8::DOUBLE AS confidence, 'low' AS risk FROM ph JOIN {CONNECTORS} c USING (lang) JOIN {CONNECTORS} o USING (lang, function) WHERE pos = 0 AND ph.form = c.form AND c.form <> o.form AND following IS DISTINCT FROM o.form),
 pr AS (SELECT * FROM lx UNION ALL SELECT * FROM cx),
 lv AS (SELECT *, CASE risk WHEN 'none' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS level FROM pr)"""
 
+_TIMES = lambda t: f"(len({t}) - len(replace({t}, fragment, ''))) / len(fragment)"
 GATED = f"""{PROPOSALS},
 sk AS (SELECT doc_id || '-' || sent_ix AS k, doc_id, sent_ix, sentence FROM sentences),
-sp AS ({" UNION ALL ".join("(" + detect_sql(k, "sk", "k", "sentence") + ")" for k in ("number", "date", "quotation"))}),
-ga AS (SELECT lv.*, CASE WHEN before = after THEN 'identity' WHEN substr(sentence, s::BIGINT + 1, (e - s)::BIGINT) <> before THEN 'text' WHEN EXISTS (SELECT 1 FROM sp WHERE sp.k = lv.doc_id || '-' || lv.sent_ix AND lv.s < sp."end" AND sp."start" < lv.e) THEN 'protected' WHEN level > 2 THEN 'risk' WHEN confidence < 0.6 THEN 'confidence' END AS reason FROM lv)"""
+sp AS ({" UNION ALL ".join("(" + detect_sql(k, "sk", "k", "sentence") + ")" for k in rewrite.PROTECTED)}),
+ga AS (SELECT lv.*, CASE WHEN before = after THEN 'identity' WHEN substr(sentence, s::BIGINT + 1, (e - s)::BIGINT) <> before THEN 'text' WHEN EXISTS (SELECT 1 FROM sp WHERE sp.k = lv.doc_id || '-' || lv.sent_ix AND lv.s < sp."end" AND sp."start" < lv.e AND (sp."start" < lv.s OR sp."end" > lv.e OR {_TIMES("after")} < {_TIMES("before")})) THEN 'protected' WHEN level > 2 THEN 'risk' WHEN confidence < 0.6 THEN 'confidence' END AS reason FROM lv)"""
 
 ACCEPTED = f"""{GATED},
-ac AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_ix ORDER BY confidence DESC, level, s, e, after) AS prop_ix FROM ga WHERE reason IS NULL),
-po AS (SELECT * FROM ac WHERE prop_ix <= 8),
+po AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_ix ORDER BY confidence DESC, level, s, e, after) AS prop_ix FROM ga WHERE reason IS NULL),
 p2 AS (SELECT a.doc_id, a.sent_ix, a.prop_ix AS ia, b.prop_ix AS ib, a.s AS sa, a.e AS ea, b.s AS sb, b.e AS eb FROM po a JOIN po b ON a.doc_id = b.doc_id AND a.sent_ix = b.sent_ix AND a.prop_ix < b.prop_ix AND (a.e <= b.s OR b.e <= a.s)),
 p3 AS (SELECT p2.*, c.prop_ix AS ic, c.s AS sc, c.e AS ec FROM p2 JOIN po c ON p2.doc_id = c.doc_id AND p2.sent_ix = c.sent_ix AND p2.ib < c.prop_ix AND (c.e <= sa OR ea <= c.s) AND (c.e <= sb OR eb <= c.s))"""
 
 #: Candidate texts by replacing from the right, one edit a step.
 BUILT = f"""{ACCEPTED},
-me1 AS (SELECT doc_id, sent_ix, [prop_ix] AS members FROM po UNION ALL SELECT doc_id, sent_ix, [ia, ib] FROM p2 UNION ALL SELECT doc_id, sent_ix, [ia, ib, ic] FROM p3),
+me0 AS (SELECT doc_id, sent_ix, [prop_ix] AS members FROM po UNION ALL SELECT doc_id, sent_ix, [ia, ib] FROM p2 UNION ALL SELECT doc_id, sent_ix, [ia, ib, ic] FROM p3),
+me1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_ix ORDER BY len(members), members) AS place, count(CASE WHEN len(members) = 1 THEN 1 END) OVER (PARTITION BY doc_id, sent_ix) AS singles FROM me0) WHERE place <= greatest({C.POOL}, singles)),
 me2 AS (SELECT doc_id, sent_ix, members, unnest(members) AS prop_ix FROM me1),
 ed AS (SELECT m.doc_id, m.sent_ix, m.members, po.lang, po.sentence, po.s, po.e, po.after, po.family, po.confidence, po.risk, row_number() OVER (PARTITION BY m.doc_id, m.sent_ix, m.members ORDER BY po.s) AS rn, lag(po.e) OVER (PARTITION BY m.doc_id, m.sent_ix, m.members ORDER BY po.s) AS prev FROM me2 m JOIN po ON po.doc_id = m.doc_id AND po.sent_ix = m.sent_ix AND po.prop_ix = m.prop_ix),
 cd AS (SELECT doc_id, sent_ix, members, any_value(lang) AS lang, any_value(sentence) AS sentence, count(*) AS n_edits, string_agg(substr(sentence, coalesce(prev, 0)::BIGINT + 1, (s - coalesce(prev, 0))::BIGINT) || after, '' ORDER BY rn) || substr(any_value(sentence), max(e)::BIGINT + 1) AS candidate FROM ed GROUP BY doc_id, sent_ix, members),
@@ -87,7 +96,19 @@ ck AS (SELECT *, trim(regexp_replace(regexp_replace(candidate, '\\s+', ' ', 'g')
 ds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_ix, key ORDER BY n_edits, members) AS kn FROM ck) WHERE kn = 1)"""
 
 _SPACED = lambda c: f"' ' || array_to_string({words(c)}, '  ') || ' '"
-_MARK = lambda c, kind: f"(SELECT coalesce(sum((len({_SPACED(c)}) - len(replace({_SPACED(c)}, ' ' || marker || ' ', ''))) / (len(marker) + 2)), 0) FROM mk2 WHERE mk2.lang = ds.lang AND kind = '{kind}')"
+_EXCEPT = {(lang, kind.removesuffix("_exception")): m for lang, kind, m in D.MARKERS if kind.endswith("_exception")}
+
+
+def _masked(c: str, kind: str) -> str:
+    """The spaced text, without the exceptions of its language; no two of a kind and language here."""
+    out = _SPACED(c)
+    for (lang, of), m in _EXCEPT.items():
+        if of == kind:
+            out = f"CASE WHEN ds.lang = '{lang}' THEN replace({out}, ' {m.replace(' ', '  ')} ', ' ' || chr(1) || ' ') ELSE {out} END"
+    return out
+
+
+_MARK = lambda c, kind: f"(SELECT coalesce(sum((len({_masked(c, kind)}) - len(replace({_masked(c, kind)}, ' ' || replace(marker, ' ', '  ') || ' ', ''))) / (len(replace(marker, ' ', '  ')) + 2)), 0) FROM mk2 WHERE mk2.lang = ds.lang AND kind = '{kind}')"
 _ERRORS = lambda c: f"((len({c}) - len(replace({c}, '(', '')) <> len({c}) - len(replace({c}, ')', '')) OR len({c}) - len(replace({c}, '[', '')) <> len({c}) - len(replace({c}, ']', '')) OR len({c}) - len(replace({c}, '«', '')) <> len({c}) - len(replace({c}, '»', '')) OR len({c}) - len(replace({c}, '“', '')) <> len({c}) - len(replace({c}, '”', '')) OR (len({c}) - len(replace({c}, '\"', ''))) % 2 <> 0)::INT + (NOT regexp_matches({c}, '[.!?…:;][\"»”’)\\]]*$'))::INT + regexp_matches({c}, ',\\s*,')::INT)"
 _NUMS = lambda c: f"list_sort(list_concat(regexp_extract_all({c}, {q(validation.NUMBERS)}), regexp_extract_all({c}, {q(validation.ROMANS)}, 1)))"
 
@@ -144,9 +165,9 @@ QUERIES = {
     "spans_within_sentence": spans_within,
     "lexical_proposals": lambda s, d: longs(rules.lexical(docs(s, d), D.lexicon(s)).drop("sentence", "lang", "family"), "sent_ix", "start", "end"),
     "connector_proposals": lambda s, d: longs(rules.connector_swaps(docs(s, d), D.connectors(s)).select("doc_id", "sent_ix", "start", "end", "before", "after"), "sent_ix", "start", "end"),
-    "proposal_gate": lambda s, d: rules.gate(rewrite.proposals(docs(s, d)), rewrite.protected(docs(s, d))).groupBy("lang", "family", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n")),
-    "candidate_pairs": lambda s, d: longs(C.pairs(C.pool(rewrite.accepted(docs(s, d)))).select("doc_id", "sent_ix", "prop_ix_a", "prop_ix_b"), "sent_ix"),
-    "candidate_triples": lambda s, d: longs(C.triples(C.pool(rewrite.accepted(docs(s, d)))).select("doc_id", "sent_ix", "prop_ix_a", "prop_ix_b", "prop_ix_c"), "sent_ix"),
+    "proposal_gate": lambda s, d: rules.gate(rewrite.proposals(docs(s, d))).groupBy("lang", "family", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n")),
+    "candidate_pairs": lambda s, d: longs(C.pairs(rewrite.accepted(docs(s, d))).select("doc_id", "sent_ix", "prop_ix_a", "prop_ix_b"), "sent_ix"),
+    "candidate_triples": lambda s, d: longs(C.triples(rewrite.accepted(docs(s, d))).select("doc_id", "sent_ix", "prop_ix_a", "prop_ix_b", "prop_ix_c"), "sent_ix"),
     "candidate_dedup": lambda s, d: longs(built(s, d).select("doc_id", "sent_ix", F.array_join("members", ",").alias("members"), "n_edits", F.sha2("candidate", 256).alias("candidate_sha256")), "sent_ix", "n_edits"),
     "surface_degree": degrees,
     "validators": validity,

@@ -8,11 +8,15 @@ from textloom.llm import chunks, simhash, substring_dedup, suffix_dedup
 LAST = 2**63 - 1
 
 
-@pytest.fixture(params=[1 << 22, 3000], ids=["one chunk", "many chunks"])
+@pytest.fixture(params=[(1 << 22, 1 << 18), (3000, 1 << 18), (3000, 150)], ids=["one chunk", "many chunks", "many chunks and pieces"])
 def small_chunks(request, monkeypatch):
-    monkeypatch.setattr(chunks, "CHUNK", request.param)
+    chunk, piece = request.param
+    monkeypatch.setattr(chunks, "CHUNK", chunk)
+    monkeypatch.setattr(chunks, "PIECE", piece)
+    monkeypatch.setattr(suffix_dedup, "STARTS", chunk)
+    monkeypatch.setattr(substring_dedup, "SORTED", chunk)
     for m in (substring_dedup, suffix_dedup):
-        monkeypatch.setattr(m, "BUCKET", request.param * 2)
+        monkeypatch.setattr(m, "BUCKET", chunk * 2)
         monkeypatch.setattr(m, "PART", 20_000)
 
 
@@ -67,6 +71,43 @@ def test_byte_strings(docs, rows, small_chunks):
     assert sum(e[3] for e in expected) > 5000
 
 
+def test_columns_of_any_name_stay(docs, small_chunks):
+    names = {c: F.lit(k) for k, c in enumerate(["chunk", "rest", "own", "piece", "key", "head", "tail", "base", "kept", "size", "removed", "id", "a.b"])}
+    wide = docs.withColumns({c: v for c, v in names.items()}).withColumn("n_removed", F.lit("clash"))
+    for found in (substring_dedup.remove_repeats(wide, 5), suffix_dedup.remove_repeats(wide, 20)):
+        rows = found.collect()
+        assert len(rows) == docs.count() and {r["n_removed"].__class__ for r in rows} == {int}
+        assert all({c: r[c] for c in names} == {c: k for k, c in enumerate(names)} for r in rows)
+        text = lambda r: (str(r["doc_id"]), r["text"], r["lang"], r["source"], r["n_chars"])
+        assert sorted(map(text, rows), key=repr) == sorted(map(text, docs.collect()), key=repr)
+
+
+def test_one_huge_text(spark):
+    import random
+
+    rnd = random.Random(6)
+    block = " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9))) for _ in range(20_000))
+    first = block + " " + "z" * 700_000 + " end"
+    rows = [(1, first), (2, "start " + " ".join([block] * 90)), (3, "unlike")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    for r in substring_dedup.remove_repeats(docs).collect():
+        n = len(rows[r["doc_id"] - 1][1].split())
+        assert r["n_words"] == n and r["text"] == rows[r["doc_id"] - 1][1]
+        # the words around each join are not in the first text
+        gone = {w for s in r["spans"] for w in range(s["start"], s["end"])}
+        assert r["n_removed"] == len(gone) == (n - 1 if r["doc_id"] == 2 else 0)
+        assert r["kept_text"] == ("start" if r["doc_id"] == 2 else " ".join(rows[r["doc_id"] - 1][1].split()))
+    for r in suffix_dedup.remove_repeats(docs).collect():
+        text = rows[r["doc_id"] - 1][1].encode()
+        assert r["n_bytes"] == len(text)
+        if r["doc_id"] == 2:
+            # the spaces between blocks stand beside a block's edge in the first text only after the block
+            assert r["n_bytes"] - r["n_removed"] <= 200 and len(r["spans"]) == r["n_spans"] <= 91
+            assert bytes(r["kept_bytes"]).startswith(b"start")
+        else:
+            assert r["n_removed"] == 0 and bytes(r["kept_bytes"]) == text
+
+
 def test_maximal_repeats_hold_all_occurrences(spark, small_chunks):
     rows = [(1, "xx" + "abcdefghijklmnopqrstuvwxyz0123456789" + "yy"), (2, "zz" + "abcdefghijklmnopqrstuvwxyz0123456789" + "ww"), (3, "qqqq" + "cdefghijklmnopqrstuvwxyz0123456789" + "w")]
     found = suffix_dedup.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()

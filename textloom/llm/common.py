@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word, in every contract of this subpackage.
-WORD = r"[^\x20\x09-\x0D]+"
+#: White space and the other characters, and a word, in every contract of this subpackage.
+SPACE, SOLID = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+WORD = SOLID + "+"
 #: Stands for a missing doc_id where ids are compared: later than any real one.
 LAST_ID = 2**63 - 1
 
@@ -27,12 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
         return set_by_cluster.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The application's part of the shared folder, removed when it ends."""
+    path = f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
+    once(f"removes:{path}", lambda: atexit.register(clean, spark))
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes what the application has stored; results that were not yet read are lost."""
+    try:
+        jvm, path = spark._jvm, f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session has ended before: nothing can be removed through it
+        return
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -42,17 +65,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_bytes(docs: DataFrame, text: str = "text") -> int:
-    """Bytes of all texts, one map-side aggregate."""
-    return int(docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0)
-
+def once(key: str, make, large: bool = False):
+    """A per-process singleton that outlives single tasks, in a module of its own, as functions come to workers by value.
 
-def once(key: str, make):
-    """A per-process singleton that outlives single tasks (functions come by value, their globals don't stay)."""
-    held = sys.__dict__.setdefault("_textloom_once", {})
+    Of large ones a process holds one at a time, so that a worker which goes on to another stage starts small.
+    """
+    held = sys.modules.setdefault("_textloom_state", types.ModuleType("_textloom_state")).__dict__
     if key not in held:
-        held[key] = make()
-    return held[key]
+        if large:
+            for other in [k for k, v in held.items() if isinstance(v, tuple) and v[1]]:
+                del held[other]
+            released(None)
+        held[key] = (make(), large)
+    return held[key][0]
+
+
+def released(result):
+    """result, after the worker has given back what it no longer holds, so that later stages start small."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        once("libc", lambda: ctypes.CDLL(None)).malloc_trim(0)
+    except AttributeError:
+        pass  # another C library
+    return result
 
 
 def white(data: np.ndarray) -> np.ndarray:

@@ -12,16 +12,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import SENT, Powers, by_bucket, chunked, in_order, pack, ragged, sent, unpack, with_fields
-from .common import mix64, white, window_min
+from .chunks import SENT, Placed, Powers, by_bucket, in_order, pack, ragged, sent, sub_of, subs_in_turn, unpack
+from .common import mix64, released, white, window_min
 
 WINDOW = 13
 #: Bytes of super-k-mers in a bucket, about, and how much of them a byte of text makes.
 BUCKET, SPREAD = 6 << 20, 3
-#: Text that is cut into super-k-mers at once.
-PART = 1 << 19
+#: Text that is cut into super-k-mers at once, and bytes of them that are sorted at once.
+PART, SORTED = 1 << 19, 1 << 21
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -83,8 +84,12 @@ class Chunk:
         for words, first, _, number, own in self.parts:
             np.minimum.at(self.first_doc, number, own[words.doc[first]])
 
+        self.hashed = mix64(self.minimiser)
+        self.sub = sub_of(self.hashed)
+
     def buckets(self, n: int) -> list[tuple[int, np.ndarray]]:
-        return by_bucket((mix64(self.minimiser) % np.uint64(n)).astype(np.int64))
+        """Places of the strings by bucket, in the order of sub."""
+        return by_bucket(((self.hashed & np.uint64(0xFFFFFFFFFFFF)) % np.uint64(n)).astype(np.int64), self.sub)
 
 
 def _parts(lengths: list[int]):
@@ -97,8 +102,23 @@ def _parts(lengths: list[int]):
             size = 0
 
 
-def least_documents(entries: list[list[np.ndarray]], window: int) -> list[list[np.ndarray]]:
-    """For each chunk's entry (first documents, lengths, bytes): which of its strings and windows an earlier document has, and which."""
+def least_documents(entries: list[list[np.ndarray]], window: int, most: int | None = None) -> list[list[np.ndarray]]:
+    """For each chunk's entry (first documents, lengths, bytes, sub): which of its strings and windows an earlier document has, and which.
+
+    Strings of different minimisers share no window, so that a bucket is gone through by parts of its minimisers.
+    """
+    out: list[list[list[np.ndarray]]] = [[] for _ in entries]
+    ends = [np.concatenate([[0], np.cumsum(e[1], dtype=np.int64)]) for e in entries]
+    for spans in subs_in_turn(entries, [e[1] for e in entries], most or SORTED):
+        part = [[e[0][a:b], e[1][a:b], e[2][end[a] : end[b]]] for e, end, (a, b) in zip(entries, ends, spans)]
+        for found, (row, offset, doc), (a, _) in zip(out, _least_documents(part, window), spans):
+            if len(row):
+                found.append([row + a, offset, doc])
+    kinds = (np.int32, np.int32, np.int64)
+    return [[np.concatenate([x[k] for x in found]).astype(t) if found else np.zeros(0, t) for k, t in enumerate(kinds)] for found in out]
+
+
+def _least_documents(entries: list[list[np.ndarray]], window: int) -> list[list[np.ndarray]]:
     known: dict[bytes, int] = {}
     numbers = []
     for _, lengths, data in entries:
@@ -129,7 +149,10 @@ def least_documents(entries: list[list[np.ndarray]], window: int) -> list[list[n
     # equal hashes are checked on the words; what differs after all is told apart by the words themselves
     head = order[np.flatnonzero(new)][run]
     others = np.flatnonzero(~new)
-    wrong = [k for k, i, j in zip(others.tolist(), order[others].tolist(), head[others].tolist()) if held[a[i] : b[i]] != held[a[j] : b[j]]]
+    wrong = []
+    for low in range(0, len(others), 50_000):
+        some = others[low : low + 50_000]
+        wrong += [k for k, i, j in zip(some.tolist(), order[some].tolist(), head[some].tolist()) if held[a[i] : b[i]] != held[a[j] : b[j]]]
     if wrong:
         mixed = np.isin(run, run[wrong])
         texts: dict[bytes, int] = {}
@@ -158,62 +181,66 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     Removed are the words of each window of `window` words whose words also start somewhere in a
     document with a smaller id. spans are the removed runs as word numbers [start, end); kept_text is what is left,
-    joined by single spaces. Null texts are empty; a null id is later than all others; rows of one id don't remove each other's words;
-    all other columns are kept. An empty table stays empty.
+    joined by single spaces. Null texts are empty and stay null; a null id is later than all others; rows of one id
+    don't remove each other's words. Columns of docs with one of the added names are replaced, all others kept,
+    whatever their names. Texts of any length are worked on in pieces. An empty table stays empty.
     """
-    placed, total = chunked(docs, id_col, text_col)
-    buckets = max(1, -(-total * SPREAD // BUCKET))
-    kept, schema = with_fields(placed, [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", SPANS), T.StructField("kept_text", T.StringType())])
+    placed = Placed(docs, id_col, text_col, ["n_words", "n_removed", "spans", "kept_text"], True, window - 1)
+    buckets = max(1, -(-placed.total * SPREAD // BUCKET))
+    fields = [T.StructField("size", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("spans", SPANS), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())]
+    schema = placed.schema(fields)
+    passed = [f.name for f in schema.fields[: -len(fields)]]
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        _, ids, texts = in_order(table, id_col, text_col)
+        _, ids, texts, _ = in_order(table, b" ")
         chunk = Chunk(ids, texts, window)
         strings = list(chunk.known)
         rows = []
         for bucket, part in chunk.buckets(buckets):
             chosen = [strings[k] for k in part.tolist()]
-            rows.append((bucket, key[0].as_py(), pack(chunk.first_doc[part], np.array([len(s) for s in chosen], np.int32), np.frombuffer(b"".join(chosen), np.uint8))))
-        return sent(rows)
+            rows.append((bucket, key[0].as_py(), pack(chunk.first_doc[part], np.array([len(s) for s in chosen], np.int32), np.frombuffer(b"".join(chosen), np.uint8), chunk.sub[part])))
+        return released(sent(rows))
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         chunks = table.column("chunk").to_pylist()
         answers = least_documents([unpack(x.as_py()) for x in table.column("data")], window)
-        return sent([(key[0].as_py(), c, pack(*a)) for c, a in zip(chunks, answers) if len(a[0])])
+        return released(sent([(key[0].as_py(), c, pack(*a)) for c, a in zip(chunks, answers) if len(a[0])]))
 
     def take(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        table, ids, texts = in_order(table, id_col, text_col)
+        table, ids, texts, around = in_order(table, b" ")
         chunk = Chunk(ids, texts, window)
         earliest = np.repeat(chunk.first_doc, chunk.sizes)
         members = dict(chunk.buckets(buckets))
         for bucket, data in zip(answers.column("bucket").to_pylist(), answers.column("data")):
             row, offset, doc = unpack(data.as_py())
             earliest[chunk.base[members[bucket][row]] + offset] = doc
-        n_words, n_removed, spans, texts_kept = [], [], [], []
+        cols: dict[str, list] = {f.name: [] for f in fields}
+        place = 0
         for words, first, last, number, own in chunk.parts:
             each = last - first + 1
             at = ragged(first, each)
             repeated = at[own[words.doc[at]] > earliest[ragged(chunk.base[number], each)]]
             edges = np.bincount(repeated, minlength=len(words.doc) + window + 1) - np.bincount(repeated + window, minlength=len(words.doc) + window + 1)
             gone = np.cumsum(edges)[: len(words.doc)] > 0
-            lengths = words.ends - words.starts + 1
-            left = np.repeat(~gone, lengths)
+            left = np.repeat(~gone, words.ends - words.starts + 1)
             cuts = np.searchsorted(words.doc, np.arange(len(own) + 1))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                n_words.append(b - a)
+                head, tail = around[place]
+                place += 1
+                a, b = a + len(head.split()), b - len(tail.split())
                 lo, hi = (int(words.starts[a]), int(words.ends[b - 1]) + 1) if b > a else (0, 0)
                 mask = gone[a:b]
-                n_removed.append(int(mask.sum()))
-                if n_removed[-1]:
-                    turns = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in zip(turns[::2], turns[1::2])])
-                    texts_kept.append(words.data[lo:hi][left[lo:hi]].tobytes()[:-1])
-                else:
-                    spans.append([])
-                    texts_kept.append(words.bytes[lo : max(lo, hi - 1)])
-        out = {c: table.column(c) for c in kept}
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table(out | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, kind), "kept_text": pa.array(texts_kept, pa.binary()).cast(pa.string())})
-
-    strings = placed.groupBy("chunk").applyInArrow(send, SENT)
-    answers = strings.groupBy("bucket").applyInArrow(compare, SENT)
-    return placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(take, schema)
+                removed = int(mask.sum())
+                turns = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).tolist() if removed else []
+                cols["size"].append(b - a)
+                cols["removed"].append(removed)
+                cols["spans"].append([{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2])])
+                cols["kept"].append(None)
+                cols["kept_text"].append(words.data[lo:hi][left[lo:hi]].tobytes()[:-1] if removed else words.bytes[lo : max(lo, hi - 1)])
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+        out = {c: table.column(c) for c in passed} | {f.name: pa.array(cols[f.name], k) for f, k in zip(fields, kinds)}
+        return released(pa.table(out | {"kept_text": pa.array(cols["kept_text"], pa.binary()).cast(pa.string())}))
+
+    answers = placed.map(send, SENT).groupBy("bucket").applyInArrow(compare, SENT)
+    rows = placed.rows(placed.met(answers, take, schema), " ")
+    return rows.select(*placed.names, F.col("size").alias("n_words"), F.col("removed").alias("n_removed"), "spans", "kept_text")

@@ -13,14 +13,16 @@ document has; strings end at document ends.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import SENT, Powers, by_bucket, chunked, hashes_at, in_order, pack, ragged, sent, unpack, with_fields
-from .common import mix64, window_min
+from .chunks import SENT, Placed, Powers, by_bucket, hashes_at, in_order, pack, ragged, sent, sub_of, subs_in_turn, unpack
+from .common import mix64, released, window_min
 
 #: Bytes of a repeated string, and of the pieces whose least hash is its anchor.
 LENGTH, PIECE = 50, 20
@@ -28,8 +30,8 @@ LENGTH, PIECE = 50, 20
 RUN = 64
 #: Bytes of text for each bucket of anchors, and of fragments.
 BUCKET = 8 << 20
-#: Text that is looked through at once.
-PART = 1 << 19
+#: Text that is looked through at once, and string starts that are sorted at once.
+PART, STARTS = 1 << 19, 1 << 18
 NEVER = np.iinfo(np.int64).max
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -88,7 +90,7 @@ class Chunk:
         return by_bucket((mix64(self.anchors) >> np.uint64(40)).astype(np.int64) % n)
 
     def fragments(self, buckets: int) -> list[tuple[int, np.ndarray]]:
-        """Cuts the shared runs into fragments; returns the places of the distinct ones by bucket."""
+        """Cuts the shared runs into fragments; returns the places of the distinct ones by bucket, in the order of self.sub."""
         known: dict[bytes, int] = {}
         self.placed, first_doc, count, anchor = [], [], [], []
         for p in self.parts:
@@ -108,8 +110,9 @@ class Chunk:
         for _, _, number, ids in self.placed:
             np.minimum.at(self.first_doc, number, ids)
         self.count = np.bincount(np.concatenate([x[2] for x in self.placed]), minlength=len(known)) if self.placed else np.zeros(0, np.int64)
-        anchors = np.concatenate(anchor) if anchor else np.zeros(0, np.uint64)
-        return by_bucket((mix64(anchors) % np.uint64(buckets)).astype(np.int64))
+        hashed = mix64(np.concatenate(anchor) if anchor else np.zeros(0, np.uint64))
+        self.sub = sub_of(hashed)
+        return by_bucket(((hashed & np.uint64(0xFFFFFFFFFFFF)) % np.uint64(buckets)).astype(np.int64), self.sub)
 
 
 def repeated_anchors(entries: list[np.ndarray]) -> list[np.ndarray]:
@@ -199,11 +202,28 @@ class SuffixArray:
         return tuple(np.array(x, np.int64) for x in zip(*found))
 
 
-def repeat_groups(entries: list[list[np.ndarray]], length: int, every: bool = False) -> list[list[np.ndarray]]:
-    """For each chunk's entry (first documents, counts, lengths, bytes): places, offsets, lengths and groups of repeats.
+def repeat_groups(entries: list[list[np.ndarray]], length: int, every: bool = False, starts: int | None = None) -> list[list[np.ndarray]]:
+    """For each chunk's entry (first documents, counts, lengths, bytes, sub): places, offsets, lengths and groups of repeats.
 
-    Only those that an earlier document than the string's first in its chunk has; all with `every`.
+    Only those that an earlier document than the string's first in its chunk has; all with `every`. Fragments with
+    different anchors share no string, so that a bucket is gone through by parts of its anchors.
     """
+    out: list[list[list[np.ndarray]]] = [[] for _ in entries]
+    ends = [np.concatenate([[0], np.cumsum(e[2], dtype=np.int64)]) for e in entries]
+    numbers = 0
+    for spans in subs_in_turn(entries, [e[2] - length + 1 for e in entries], starts or STARTS):
+        part = [[e[0][a:b], e[1][a:b], e[2][a:b], e[3][end[a] : end[b]]] for e, end, (a, b) in zip(entries, ends, spans)]
+        most = numbers
+        for found, answer, (a, _) in zip(out, _repeat_groups(part, length, every), spans):
+            if len(answer[0]):
+                found.append([answer[0] + a, answer[1], answer[2], answer[3] + numbers])
+                most = max(most, int(found[-1][3].max()) + 1)
+        numbers = most
+    kinds = (np.int32, np.int32, np.int32, np.int64)
+    return [[np.concatenate([x[k] for x in found]).astype(t) if found else np.zeros(0, t) for k, t in enumerate(kinds)] for found in out]
+
+
+def _repeat_groups(entries: list[list[np.ndarray]], length: int, every: bool) -> list[list[np.ndarray]]:
     known: dict[bytes, int] = {}
     numbers = []
     for _, _, sizes, data in entries:
@@ -258,58 +278,57 @@ def repeat_groups(entries: list[list[np.ndarray]], length: int, every: bool = Fa
 class Plan:
     """The dataflow that removal and groups share."""
 
-    def __init__(self, docs: DataFrame, length: int, id_col: str, text_col: str, every: bool):
-        self.placed, total = chunked(docs, id_col, text_col)
-        buckets = self.buckets = max(1, -(-total // BUCKET))
-        self.length, self.id_col, self.text_col = length, id_col, text_col
+    def __init__(self, docs: DataFrame, length: int, id_col: str, text_col: str, added: list[str], every: bool):
+        self.placed = Placed(docs, id_col, text_col, added, False, length - 1)
+        buckets = self.buckets = max(1, -(-self.placed.total // BUCKET))
+        self.length = length
 
         def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
-            _, ids, texts = in_order(table, id_col, text_col)
+            _, ids, texts, _ = in_order(table)
             chunk = Chunk(ids, texts, length)
             # 40 bits, and the bucket's; a chance meeting only sends a fragment in vain
-            return sent([(b, key[0].as_py(), pack(*_split(mix64(chunk.anchors[part])))) for b, part in chunk.anchor_buckets(buckets)])
+            return released(sent([(b, key[0].as_py(), pack(*_split(mix64(chunk.anchors[part])))) for b, part in chunk.anchor_buckets(buckets)]))
 
         def compare_anchors(key: tuple, table: pa.Table) -> pa.Table:
             chunks = table.column("chunk").to_pylist()
             found = repeated_anchors([_joined(*unpack(x.as_py())) for x in table.column("data")])
-            return sent([(key[0].as_py(), c, pack(x)) for c, x in zip(chunks, found) if len(x)])
+            return released(sent([(key[0].as_py(), c, pack(x)) for c, x in zip(chunks, found) if len(x)]))
 
         def send_fragments(key: tuple, table: pa.Table, anchors: pa.Table) -> pa.Table:
-            _, ids, texts = in_order(table, id_col, text_col)
+            _, ids, texts, _ = in_order(table)
             chunk = Chunk(ids, texts, length)
             mark(chunk, anchors, buckets)
             rows = []
             for b, part in chunk.fragments(buckets):
                 chosen = [chunk.strings[k] for k in part.tolist()]
-                rows.append((b, key[0].as_py(), pack(chunk.first_doc[part], chunk.count[part].astype(np.int32), np.array([len(s) for s in chosen], np.int32), np.frombuffer(b"".join(chosen), np.uint8))))
-            return sent(rows)
+                rows.append((b, key[0].as_py(), pack(chunk.first_doc[part], chunk.count[part].astype(np.int32), np.array([len(s) for s in chosen], np.int32), np.frombuffer(b"".join(chosen), np.uint8), chunk.sub[part])))
+            return released(sent(rows))
 
         def compare_fragments(key: tuple, table: pa.Table) -> pa.Table:
             chunks = table.column("chunk").to_pylist()
             found = repeat_groups([unpack(x.as_py()) for x in table.column("data")], length, every)
-            return sent([(key[0].as_py(), c, pack(*x)) for c, x in zip(chunks, found) if len(x[0])])
+            return released(sent([(key[0].as_py(), c, pack(*x)) for c, x in zip(chunks, found) if len(x[0])]))
 
-        by_chunk = self.placed.groupBy("chunk")
-        anchors = by_chunk.applyInArrow(send_anchors, SENT).groupBy("bucket").applyInArrow(compare_anchors, SENT)
-        fragments = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(send_fragments, SENT)
+        anchors = self.placed.map(send_anchors, SENT).groupBy("bucket").applyInArrow(compare_anchors, SENT)
+        fragments = reduce(DataFrame.unionByName, self.placed.met(anchors, send_fragments, SENT))
         repeats = fragments.groupBy("bucket").applyInArrow(compare_fragments, SENT)
         self.answers = anchors.withColumn("kind", F.lit("anchor")).unionByName(repeats.withColumn("kind", F.lit("repeat")))
 
-    def visit(self, f, schema: T.StructType) -> DataFrame:
-        """f(chunk of documents, their table, answers by bucket) for every chunk."""
-        length, buckets, id_col, text_col = self.length, self.buckets, self.id_col, self.text_col
+    def visit(self, f, schema: T.StructType) -> list[DataFrame]:
+        """f(chunk of documents, their table, what stands around its texts, answers by bucket) for every chunk, by part."""
+        length, buckets = self.length, self.buckets
 
         def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
             kind = np.array(answers.column("kind").to_pylist(), object)
-            table, ids, texts = in_order(table, id_col, text_col)
+            table, ids, texts, around = in_order(table)
             chunk = Chunk(ids, texts, length)
             mark(chunk, answers.filter(pa.array(kind == "anchor", pa.bool_())), buckets)
             members = dict(chunk.fragments(buckets))
             repeats = answers.filter(pa.array(kind == "repeat", pa.bool_()))
             found = [(b, members[b], *unpack(x.as_py())) for b, x in zip(repeats.column("bucket").to_pylist(), repeats.column("data"))]
-            return f(chunk, table, found)
+            return released(f(chunk, table, around, found))
 
-        return self.placed.groupBy("chunk").cogroup(self.answers.groupBy("chunk")).applyInArrow(run, schema)
+        return self.placed.met(self.answers, run, schema)
 
 
 def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,14 +350,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     Removed are the bytes (UTF-8) of each string of `length` bytes that also starts in a document with a
     smaller id. spans are the maximal removed runs as byte offsets [start, end); kept_bytes is what is left and may
-    cut a character, kept_text leaves such halves out. Null texts are empty; a null id is later than all others; rows of one id don't
-    remove each other's bytes; all other columns are kept. An empty table stays empty.
+    cut a character, kept_text leaves such halves out. Null texts are empty and stay null; a null id is later than all
+    others; rows of one id don't remove each other's bytes. Columns of docs with one of the added names are replaced, all
+    others kept, whatever their names. Texts of any length are worked on in pieces. An empty table stays empty.
     """
-    plan = Plan(docs, length, id_col, text_col, False)
-    fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("spans", SPANS), T.StructField("kept_bytes", T.BinaryType()), T.StructField("kept_text", T.StringType())]
-    kept, schema = with_fields(plan.placed, fields)
+    added = ["n_bytes", "n_removed", "n_spans", "spans", "kept_bytes", "kept_text"]
+    plan = Plan(docs, length, id_col, text_col, added, False)
+    fields = [T.StructField("size", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("spans", SPANS), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())]
+    schema = plan.placed.schema(fields)
+    passed = [f.name for f in schema.fields[: -len(fields)]]
 
-    def take(chunk: Chunk, table: pa.Table, found: list) -> pa.Table:
+    def take(chunk: Chunk, table: pa.Table, around: list, found: list) -> pa.Table:
         # answers by string
         string = np.concatenate([m[row] for _, m, row, *_ in found]) if found else np.zeros(0, np.int64)
         offset, size = (np.concatenate([x[k] for x in found]).astype(np.int64) if found else np.zeros(0, np.int64) for k in (3, 4))
@@ -347,6 +369,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         per = np.bincount(string, minlength=len(chunk.strings))
         begin = np.cumsum(per) - per
         cols: dict[str, list] = {f.name: [] for f in fields}
+        row = 0
         for p, (at, to, number, ids) in zip(chunk.parts, chunk.placed):
             later = ids > chunk.first_doc[number]
             n = per[number]
@@ -356,30 +379,37 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             for a, b in ((at[later], to[later]), (start, start + size[answer])):
                 edges += np.bincount(a, minlength=len(edges)) - np.bincount(b, minlength=len(edges))
             gone = np.cumsum(edges)[:-1] > 0
-            for a, b, text in zip(p.starts.tolist(), p.ends.tolist(), p.texts):
+            for a, b in zip(p.starts.tolist(), p.ends.tolist()):
+                head, tail = around[row]
+                row += 1
+                a, b = a + len(head), b - len(tail)
                 mask = gone[a:b]
                 removed = int(np.count_nonzero(mask))
                 turns = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).tolist() if removed else []
-                cols["n_bytes"].append(b - a)
-                cols["n_removed"].append(removed)
-                cols["n_spans"].append(len(turns) // 2)
+                left = p.data[a:b][~mask].tobytes() if removed else None
+                cols["size"].append(b - a)
+                cols["removed"].append(removed)
                 cols["spans"].append([{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2])])
-                cols["kept_bytes"].append(p.data[a:b][~mask].tobytes() if removed else text)
-        cols["kept_text"] = [x.decode("utf-8", "ignore") for x in cols["kept_bytes"]]
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string()]
-        return pa.table({c: table.column(c) for c in kept} | {f.name: pa.array(cols[f.name], k) for f, k in zip(fields, kinds)})
+                cols["kept"].append(left)
+                cols["kept_text"].append(left.decode("utf-8", "ignore") if removed else None)
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string()]
+        return pa.table({c: table.column(c) for c in passed} | {f.name: pa.array(cols[f.name], k) for f, k in zip(fields, kinds)})
 
-    return plan.visit(take, schema)
+    rows = plan.placed.rows(plan.visit(take, schema), "")
+    text = F.coalesce(F.col("own"), F.lit(""))
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return rows.select(*plan.placed.names, F.col("size").alias("n_bytes"), F.col("removed").alias("n_removed"), n_spans, "spans", F.coalesce("kept", text.cast("binary")).alias("kept_bytes"), F.coalesce("kept_text", text).alias("kept_text"))
 
 
 def maximal_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, group, id, start, length): every occurrence of every maximal repeat, in bytes."""
-    plan = Plan(docs, length, id_col, text_col, True)
-    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("group", T.LongType()), docs.schema[id_col], T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
+    plan = Plan(docs.select(id_col, text_col), length, id_col, text_col, [], True)
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("bucket", "group", id_col, "start", "length")])
 
-    def take(chunk: Chunk, table: pa.Table, found: list) -> pa.Table:
+    def take(chunk: Chunk, table: pa.Table, around: list, found: list) -> pa.Table:
         cols: list[list] = [[], [], [], [], []]
         doc_number = 0
+        base = table.column("base").to_numpy() - np.array([len(h) for h, _ in around], np.int64)
         for p, (at, _, number, _) in zip(chunk.parts, chunk.placed):
             order = np.argsort(number, kind="stable")
             per = np.bincount(number, minlength=len(chunk.strings))
@@ -388,11 +418,11 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
                 string = members[row]
                 place = at[order[ragged(begin[string], per[string])]]
                 doc = np.searchsorted(p.ends, place, side="right")
-                start = place - p.starts[doc] + np.repeat(offset, per[string])
+                start = place - p.starts[doc] + np.repeat(offset, per[string]) + base[doc + doc_number]
                 for col, x in zip(cols, (np.full(len(place), b), np.repeat(group, per[string]), doc + doc_number, start, np.repeat(size, per[string]))):
                     col.append(x.astype(np.int64))
             doc_number += len(p.texts)
         bucket, group, doc, start, size = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
-        return pa.table({"bucket": bucket, "group": group, id_col: table.column(id_col).take(pa.array(doc)), "start": start, "length": size})
+        return pa.table({"bucket": bucket, "group": group, id_col: table.column("id").take(pa.array(doc)), "start": start, "length": size})
 
-    return plan.visit(take, schema).distinct()
+    return reduce(DataFrame.unionByName, plan.visit(take, schema)).distinct()

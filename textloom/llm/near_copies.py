@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, stored
+from .common import mix64, released, stored
 from .components import components
 from .simhash import fingerprint_of, links, shingle_hashes
 
@@ -25,6 +25,8 @@ from .simhash import fingerprint_of, links, shingle_hashes
 BANDS, ROWS = 24, 4
 #: Least similarity, as a fraction.
 SHARE = (4, 5)
+#: Keys (of eight bytes) that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 1 << 20
 
 
 def bands(hashes: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -41,7 +43,7 @@ def bands(hashes: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarra
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, key, fp, cells, shingles) of every row; key is the digest of the set of shingles, which are sorted 64-bit hashes."""
+    """(id, key, fp, cells, shingles) of every row; key is the digest of the set of shingles, which are 64-bit hashes."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,46 +54,45 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
                 for t in b.column(1):
                     hashes = shingle_hashes(t.as_py(), shingle)
                     own = np.unique(hashes)
-                    sets.append(own.tobytes())
-                    keys.append(xxhash.xxh64_intdigest(sets[-1], 42))
+                    sets.append(own.view(np.int64))
+                    keys.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
                     prints.append(fingerprint_of(hashes))
                     cells.append(bands(own).view(np.int64) if len(own) else np.zeros(0, np.int64))
                 signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0), signed(keys), signed(prints), pa.array(cells, pa.list_(pa.int64())), pa.array(sets, pa.binary())], [id_col, "key", "fp", "cells", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0), signed(keys), signed(prints), pa.array(cells, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], [id_col, "key", "fp", "cells", "shingles"])
+        released(None)
 
-    added = [T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())]
+    added = [T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.LongType()))]
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType([docs.schema[id_col], *added]))
 
 
-def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys that are similar enough."""
-    over, under = SHARE
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = held.select("key", "shingles").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+def verified(pairs: DataFrame, held: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys that are similar enough.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = 0
-                if under * min(len(x), len(y)) >= over * max(len(x), len(y)):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common > 0 and under * common >= over * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    Only the sets of these keys are read and moved, one for each key.
+    """
+    over, under = SHARE
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(points.select("key", F.col("_least").alias("least")), "key"), "wanted")
+    few = wanted.count() <= BROADCAST
+    found = held.join(F.broadcast(wanted) if few else wanted, (held["key"] == wanted["key"]) & held["_id"].eqNullSafe(wanted["least"]), "left_semi")
+    sets = stored(found.select("key", "shingles").dropDuplicates(["key"]), "sets")
 
     met = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a")), "a")
-    return met.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    # in the JVM row by row: batches of such rows would be large
+    n, m = F.size("of_a"), F.size("of_b")
+    close = met.where((n > 0) & (m > 0) & (under * F.least(n, m) >= over * F.greatest(n, m))).withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    return close.where((F.col("common") > 0) & (under * F.col("common") >= over * (n + m - F.col("common")))).select("a", "b")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """(id, component_id) of every row: the smallest id reachable over pairs of near copies.
 
     Texts without a word, null ones included, are copies of each other; a text of less than a shingle
-    is one shingle. Null ids are never the smallest; repeated rows keep their place.
+    is one shingle. Ids are of any ordered type; null ids are never the smallest; repeated rows keep their place.
     """
-    held = stored(sketches(docs, id_col, text_col, shingle), "sketches")
-    points = held.groupBy("key").agg(F.min(id_col).alias("_least"), F.first("fp").alias("fp"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    held = stored(sketches(docs, "_id", "_text", shingle), "sketches")
+    points = stored(held.groupBy("key").agg(F.min("_id").alias("_least"), F.first("fp").alias("fp")), "points")
     # texts of one fingerprint or of close ones
     of_print = stored(points.groupBy("fp").agg(F.min("key").alias("lead")), "prints")
     same = points.join(of_print, "fp").select(F.col("lead").alias("a"), F.col("key").alias("b"))
@@ -103,7 +104,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = stored(rows.join(leads, "cell"), "met")
     led = met.select(F.col("lead").alias("a"), F.col("key").alias("b"))
     first = stored(led.unionByName(same).unionByName(near).where("a <> b").distinct(), "pairs")
-    edges = stored(verified(first, held), "edges")
+    edges = stored(verified(first, held, points), "edges")
     # then those that are not yet in one component
     roots = components(edges).withColumnRenamed("node", "key")
     rooted = met.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -112,9 +113,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     x, y = (parts.select("cell", F.col("root").alias(f"root_{c}"), F.col("keys").alias(f"keys_{c}")) for c in "xy")
     crossed = x.join(y, "cell").where("root_x < root_y").select(F.explode("keys_x").alias("x"), "keys_y").select("x", F.explode("keys_y").alias("y"))
     rest = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    edges = edges.unionByName(stored(verified(stored(rest, "pairs"), held), "edges"))
+    edges = edges.unionByName(stored(verified(stored(rest, "pairs"), held, points), "edges"))
     roots = components(edges).withColumnRenamed("node", "key")
     placed = points.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
     of_key = placed.select("key", "root").join(least, "root").select("key", "component_id")
-    return held.select(id_col, "key").join(of_key, "key").select(id_col, "component_id")
+    return held.select("_id", "key").join(of_key, "key").select(F.col("_id").alias(id_col), "component_id")

@@ -163,10 +163,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without a word, null ones included, have fingerprint zero and link like any other. Null
     ids are never the smallest (a component of them alone has a null id); repeated rows keep their place.
     """
-    held = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    points = held.groupBy("fp").agg(F.min(id_col).alias("_least"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    held = stored(fingerprints(docs, "_id", "_text", shingle), "fingerprints")
+    points = held.groupBy("fp").agg(F.min("_id").alias("_least"))
     roots = components(links(points, radius)).withColumnRenamed("node", "fp")
     rooted = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
     of_point = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return held.join(of_point, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return held.join(of_point, "fp").select(F.col("_id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

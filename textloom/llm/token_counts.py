@@ -76,7 +76,7 @@ class JsonCounter:
 
 
 def counter(path: str):
-    return once(f"counter:{path}", lambda: (PieceCounter if path.endswith(".model") else JsonCounter)(path))
+    return once(f"counter:{path}", lambda: (PieceCounter if path.endswith(".model") else JsonCounter)(path), large=True)
 
 
 def tokenizer_digest(path: str) -> str:

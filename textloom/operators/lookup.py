@@ -43,8 +43,9 @@ def exploded_dictionary(terms: DataFrame) -> DataFrame:
     return own.unionByName(each("preferred", "preferred")).unionByName(each("accepted", "accepted")).unionByName(each("avoid", "avoid"))
 
 
-def guess_by_suffix(words: DataFrame, suffixes: DataFrame, longest: int = 6) -> DataFrame:
-    """The rule of the longest suffix (suffix, pos, ...) that ends each word; an equi-join on the word's ends."""
+def guess_by_suffix(words: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """The rule of the longest suffix (suffix, pos, ...) that ends each word; an equi-join on the word's ends, up to the longest suffix there is."""
+    longest = suffixes.agg(F.max(F.length("suffix")).alias("n")).first()["n"] or 1
     ends = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word"))), lambda n: F.substr("word", F.length("word") - n + 1, n))
     met = words.select("word", F.explode(ends).alias("suffix")).join(suffixes, "suffix")
     rest = [c for c in suffixes.columns if c != "suffix"]

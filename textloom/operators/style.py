@@ -83,17 +83,25 @@ def top_words(docs: DataFrame, by: str, k: int = 15, least: int = 4) -> DataFram
 
 
 def ngrams(docs: DataFrame, by: str, sizes=(2, 3, 4), min_count: int = 3, min_docs: int = 2) -> DataFrame:
-    """Word n-grams within sentences: (by, size, gram, n, n_documents) at the least counts."""
+    """Word n-grams within sentences: (by, size, gram, n, n_documents) at the least counts.
+
+    First hashes alone are counted, with the least and greatest document of each, which is enough to leave out what
+    is rare or in one document; only what remains is counted by document, with its text.
+    """
     from .settle import settled
 
     s = settled(docs.select(by, "doc_id", F.explode(X.sentences(F.col("text"))).alias("sentence")), w=X.words(F.col("sentence")))
 
     def of_size(n: int):
-        make = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.lit(n).alias("size"), F.array_join(F.slice("w", i, n), " ").alias("gram")))
-        return F.when(F.size("w") >= n, make).otherwise(F.array().cast("array<struct<size:int,gram:string>>"))
-
-    each = F.flatten(F.array(*(of_size(n) for n in sizes)))
-    return s.select(by, "doc_id", F.explode(each).alias("g")).groupBy(by, "g.size", "g.gram").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_documents")).where((F.col("n") >= min_count) & (F.col("n_documents") >= min_docs))
+        make = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.lit(n).alias("size"), i.alias("at"), F.xxhash64(F.slice("w", i, n)).alias("hash")))
+        return F.when(F.size("w") >= n, make).otherwise(F.array().cast("array<struct<size:int,at:int,hash:bigint>>"))
+
+    each = s.select(by, "doc_id", "w", F.explode(F.flatten(F.array(*(of_size(n) for n in sizes)))).alias("g")).select(by, "doc_id", "w", "g.*")
+    seen = each.groupBy(by, "size", "hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"))
+    often = seen.where((F.col("n") >= min_count) & ((F.col("_a") != F.col("_b")) if min_docs > 1 else F.lit(True))).select(by, "size", "hash")
+    gram = F.array_join(F.slice("w", F.col("at"), F.col("size")), " ")
+    kept = each.join(often, [by, "size", "hash"], "left_semi").groupBy(by, "size", gram.alias("gram"), "doc_id").agg(F.count("*").alias("n"))
+    return kept.groupBy(by, "size", "gram").agg(F.sum("n").alias("n"), F.count("*").alias("n_documents")).where((F.col("n") >= min_count) & (F.col("n_documents") >= min_docs))
 
 
 def recurrent_ngrams(docs: DataFrame, by: str, sizes=(2, 3, 4), min_count: int = 3, min_docs: int = 2, k: int = 20) -> DataFrame:

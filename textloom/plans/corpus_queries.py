@@ -54,13 +54,12 @@ def feedback_events(s, d):
 FEEDBACK = """SELECT (user_id % 50)::VARCHAR AS form, sum(CASE WHEN event_type IN ('purchase', 'click') THEN 1 ELSE 0 END)::BIGINT AS preferred, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END)::BIGINT AS acceptable, sum(CASE WHEN event_type NOT IN ('purchase', 'click', 'view') THEN 1 ELSE 0 END)::BIGINT AS rejected FROM events GROUP BY 1"""
 
 
-def word_forms(s, d, k=200):
-    """The k most frequent words, a report."""
-    w = docs(s, d, F.explode(X.words(F.col("text"))).alias("form"))
-    return w.groupBy("form").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "form").limit(k).select("form")
+def word_forms(s, d):
+    """All distinct words."""
+    return docs(s, d, F.explode(X.words(F.col("text"))).alias("form")).distinct()
 
 
-FORMS = f"forms AS (SELECT word AS form FROM (SELECT word, count(*) AS n FROM words GROUP BY 1) ORDER BY n DESC, word LIMIT 200)"
+FORMS = "forms AS (SELECT DISTINCT word AS form FROM words)"
 
 
 def corpus_load(s, d):
@@ -73,13 +72,9 @@ f AS (SELECT role, key, min(name) AS first FROM d WHERE NOT blank AND NOT ex GRO
 SELECT name, role, key, CASE WHEN ex THEN 'excluded' WHEN blank THEN 'empty' WHEN role = 'validation' AND EXISTS (SELECT 1 FROM f m WHERE m.role = 'main' AND m.key = d.key) THEN 'overlap' WHEN name <> first THEN 'duplicate' ELSE 'used' END AS status FROM d LEFT JOIN f USING (role, key)"""
 
 
-def fingerprint_rates_sql():
-    cols = {"sentences": "ns", "comma": "len(text) - len(replace(text, ',', ''))", "pause": "len(regexp_extract_all(text, '[;:]'))", "number": "len(regexp_extract_all(text, '\\d+'))"}
-    per = ", ".join(f"{e} AS {k}" for k, e in cols.items())
-    long = " UNION ALL ".join(f"SELECT source, '{k}' AS path, doc_id, size, {k} AS hits FROM pd WHERE size > 0" for k in cols)
-    return f"""{SENTENCES}, nsent AS (SELECT doc_id, count(*) AS ns0 FROM sentences GROUP BY 1),
-pd AS (SELECT source, doc_id, {n_words("text")} AS size, {per.replace("ns AS", "coalesce(ns0, 0) AS")} FROM documents LEFT JOIN nsent USING (doc_id)),
-l AS ({long}), r AS (SELECT *, 100.0 * hits / size AS rate FROM l), m AS (SELECT source, path, quantile_cont(size, 0.5) AS med FROM r GROUP BY 1, 2),
+def robust_sql(long: str) -> str:
+    """WITH fp (source, path, value, weight): robust rates of l (source, path, doc_id, size, hits), which `long` selects."""
+    return f"""l AS ({long}), r AS (SELECT *, 100.0 * hits / size AS rate FROM l WHERE size > 0), m AS (SELECT source, path, quantile_cont(size, 0.5) AS med FROM r GROUP BY 1, 2),
 w AS (SELECT r.*, least(size::DOUBLE, 3.0 * med) AS weight FROM r JOIN m USING (source, path)),
 v AS (SELECT source, path, rate, sum(weight) AS wt FROM w GROUP BY 1, 2, 3),
 rn AS (SELECT *, sum(wt) OVER (PARTITION BY source, path ORDER BY rate ROWS UNBOUNDED PRECEDING) AS acc, sum(wt) OVER (PARTITION BY source, path) AS total FROM v),
@@ -88,6 +83,15 @@ a AS (SELECT source, path, count(*) AS nd, sum(hits) AS no, sum(rate * weight) /
 fp AS (SELECT source, path, round(CASE WHEN nd >= 5 THEN wm ELSE mean END, 4) AS value, CASE WHEN no <= 0 THEN 0.0 ELSE round(no / (no + 10.0) * (1 - 0.5 / nd), 3) END AS weight FROM a JOIN wm USING (source, path))"""
 
 
+def fingerprint_rates_sql():
+    cols = {"sentences": "ns", "comma": "len(text) - len(replace(text, ',', ''))", "pause": "len(regexp_extract_all(text, '[;:]'))", "number": "len(regexp_extract_all(text, '\\d+'))"}
+    per = ", ".join(f"{e} AS {k}" for k, e in cols.items())
+    long = " UNION ALL ".join(f"SELECT source, '{k}' AS path, doc_id, size, {k} AS hits FROM pd" for k in cols)
+    return f"""{SENTENCES}, nsent AS (SELECT doc_id, count(*) AS ns0 FROM sentences GROUP BY 1),
+pd AS (SELECT source, doc_id, {n_words("text")} AS size, {per.replace("ns AS", "coalesce(ns0, 0) AS")} FROM documents LEFT JOIN nsent USING (doc_id)),
+{robust_sql(long)}"""
+
+
 FP = fingerprint_rates_sql()
 
 
@@ -108,8 +112,8 @@ def introduced(s, d):
 
 
 def pairs_import(s, d):
-    a = docs(s, d, "doc_id", F.substring("text", 1, 60).alias("original"))
-    b = s.read.parquet(f"{d}/conversations.parquet").where("turn = 0").select(F.col("conv_id").alias("doc_id"), F.substring("text", 1, 60).alias("alternative"))
+    a = docs(s, d, "doc_id", F.col("text").alias("original"))
+    b = s.read.parquet(f"{d}/conversations.parquet").where("turn = 0").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("alternative"))
     rows = a.join(b, "doc_id").select("original", "alternative", F.when(F.col("doc_id") % 3 == 0, "0").when(F.col("doc_id") % 3 == 1, "paraphrase").otherwise("?").alias("label"))
     return readers.paraphrase_pairs(rows).groupBy("label", "conflict", "flags", "eligible").agg(F.count("*").alias("n"), F.sum("n").alias("n_rows"))
 
@@ -118,9 +122,10 @@ def _norm(c):
     return f"trim(regexp_replace(translate(lower({c}), '’‘ʼ`', ''''''''''), '\\s+', ' ', 'g'))"
 
 
-PAIRS = f"""WITH r AS (SELECT substr(d.text, 1, 60) AS o, substr(c.text, 1, 60) AS a, CASE d.doc_id % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' ELSE 'unknown' END AS label FROM documents d JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 0),
-g AS (SELECT {_norm("o")} || chr(31) || {_norm("a")} AS key, min(o) AS o, min(a) AS a, min(label) AS label, count(*) AS n, count(DISTINCT label) > 1 AS conflict FROM r GROUP BY 1),
-f AS (SELECT *, array_to_string(list_filter([CASE WHEN list_sort(regexp_extract_all(o, '\\d+(?:[.,:]\\d+)*')) <> list_sort(regexp_extract_all(a, '\\d+(?:[.,:]\\d+)*')) THEN 'numbers' END, CASE WHEN {_norm("o")} = {_norm("a")} THEN 'identical' END], lambda x: x IS NOT NULL), ',') AS flags FROM g)
+_NEGATIONS = lambda c: f"len(list_filter({words(c)}, lambda w: list_contains([{', '.join(q(w) for w in readers.NEGATIONS)}], w)))"
+PAIRS = f"""WITH r AS (SELECT d.text AS o, c.text AS a, CASE d.doc_id % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' ELSE 'unknown' END AS label FROM documents d JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 0),
+g AS (SELECT sha256({_norm("o")} || chr(31) || {_norm("a")}) AS key, min(o) AS o, min(a) AS a, min(label) AS label, count(*) AS n, count(DISTINCT label) > 1 AS conflict FROM r GROUP BY 1),
+f AS (SELECT *, array_to_string(list_filter([CASE WHEN list_sort(regexp_extract_all(o, '\\d+(?:[.,:]\\d+)*')) <> list_sort(regexp_extract_all(a, '\\d+(?:[.,:]\\d+)*')) THEN 'numbers' END, CASE WHEN {_NEGATIONS("o")} <> {_NEGATIONS("a")} THEN 'negation' END, CASE WHEN {_norm("o")} = {_norm("a")} THEN 'identical' END], lambda x: x IS NOT NULL), ',') AS flags FROM g)
 SELECT label, conflict, flags, label = 'positive' AND NOT conflict AND flags = '' AS eligible, count(*) AS n, sum(n)::BIGINT AS n_rows FROM f GROUP BY 1, 2, 3, 4"""
 
 

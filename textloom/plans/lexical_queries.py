@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import tokens as T
-from ..operators import corpus, lookup, segmentation
+from ..operators import corpus, lookup, protect, segmentation
 from ..operators import dimensions as D
 from ..operators import paragraphs as P
 from .corpus_queries import FP
+from .rewrite_queries import detect_sql
 from .sql import SENTENCES, WORDS, n_words, q
 
 CERTAIN, AMBIGUOUS = ["la", "se", "it", "sich"], ["le", "les", "lo", "that", "der", "die"]
@@ -44,10 +45,9 @@ def annotated(s, d):
 
 
 def snippets(s, d):
-    """The first number of each document in its context."""
-    d_ = docs(s, d).withColumn("number", F.regexp_extract("text", r"\d+", 0)).where("number <> ''")
-    start = F.expr("locate(number, text) - 1")
-    return d_.select("doc_id", "number", X.snippet(F.col("text"), start, start + F.length("number"), 60).alias("snippet"))
+    """Every number of each document in its context."""
+    found = protect.spans_in(docs(s, d), "spans", F.col("text"), ("number",)).select("doc_id", "text", F.explode("spans").alias("n"))
+    return found.select("doc_id", F.col("n.start").cast("long").alias("start"), F.col("n.fragment").alias("number"), X.snippet(F.col("text"), F.col("n.start"), F.col("n.end"), 60).alias("snippet"))
 
 
 def limits(s, d):
@@ -105,9 +105,9 @@ c AS (SELECT *, two OR (maybe AND (coalesce(lag(two) OVER w, false) OR coalesce(
 SELECT lang, word AS form, CASE WHEN sure THEN 'certain' WHEN three THEN 'contiguous' ELSE 'ambiguous' END AS certainty, count(*) AS n FROM c WHERE sure OR maybe GROUP BY 1, 2, 3""",
     "token_annotations": f"""WITH t AS (SELECT lang, unnest(regexp_extract_all(text, {q(X.TOKEN)})) AS token FROM documents), k AS (SELECT lang, CASE WHEN len(token) > 1 AND regexp_matches(token, '^[IVXLCDM]+è?$') AND regexp_matches(token, {q(f"^{X.ROMAN_CORE}è?$")}) THEN 'roman_numeral' WHEN token IN {_IN(X.ABBREVIATIONS)} THEN 'abbreviation' END AS subkind FROM t WHERE regexp_matches(token, '^\\p{{L}}'))
 SELECT lang, subkind, count(*) AS n FROM k WHERE subkind IS NOT NULL GROUP BY 1, 2""",
-    "kwic_snippets": """WITH d AS (SELECT doc_id, text, regexp_extract(text, '\\d+') AS number FROM documents), p AS (SELECT *, instr(text, number) - 1 AS s FROM d WHERE number <> ''),
+    "kwic_snippets": f"""WITH p AS (SELECT f.doc_id, d.text, fragment AS number, "start" AS s FROM ({detect_sql("number")}) f JOIN documents d USING (doc_id)),
 r AS (SELECT *, greatest(0, s - greatest(0, 60 - len(number)) // 2) AS lo FROM p), h AS (SELECT *, least(len(text), lo + 60) AS hi FROM r)
-SELECT doc_id, number, CASE WHEN lo > 0 THEN '…' ELSE '' END || trim(substr(text, lo + 1, hi - lo)) || CASE WHEN hi < len(text) THEN '…' ELSE '' END AS snippet FROM h""",
+SELECT doc_id, s AS "start", number, CASE WHEN lo > 0 THEN '…' ELSE '' END || trim(substr(text, lo + 1, hi - lo)) || CASE WHEN hi < len(text) THEN '…' ELSE '' END AS snippet FROM h""",
     "length_limits": f"""WITH {SENTENCES}, l AS (SELECT lang, least(author::DOUBLE, fingerprint::DOUBLE, preferred * 1.5) AS "limit" FROM {D.values(LIMITS, "lang", "author", "fingerprint", "preferred")})
 SELECT lang, "limit", count(*) AS n_sentences, coalesce(sum(CASE WHEN {n_words("sentence")} > "limit" THEN 1 ELSE 0 END), 0)::BIGINT AS n_over FROM sentences JOIN l USING (lang) GROUP BY 1, 2""",
     "reliable_features": f"WITH {FP} SELECT path, count(*) AS n_sources, round(avg(value), 4) AS mean_value FROM fp WHERE weight >= 0.25 GROUP BY 1",

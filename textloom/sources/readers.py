@@ -103,6 +103,10 @@ def thesaurus_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return m.select("group_id", "pos", "sense").distinct(), m.select("group_id", "form", "register", "secondary", "position")
 
 
+#: Words of negation, fixed values; a pair that doesn't have as many on both sides is flagged.
+NEGATIONS = ("no", "not", "mai", "cap", "gens", "pas", "jamais", "nicht", "kein", "nunca")
+
+
 def paraphrase_pairs(rows: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
     """(key, original, alternative, label, n, conflict, flags, eligible) of (original, alternative, label).
 
@@ -116,7 +120,8 @@ def paraphrase_pairs(rows: DataFrame, labels: dict[str, str] | None = None) -> D
     d = rows.select("original", "alternative", F.coalesce(mapped, F.lit("unknown")).alias("label"), F.left(F.sha2(F.concat_ws("\x1f", X.normal_form(F.col("original")), X.normal_form(F.col("alternative"))), 256), F.lit(16)).alias("key"))
     g = d.groupBy("key").agg(F.min("original").alias("original"), F.min("alternative").alias("alternative"), F.min("label").alias("label"), F.count("*").alias("n"), (F.count_distinct("label") > 1).alias("conflict"))
     number = lambda c: F.array_sort(F.regexp_extract_all(F.col(c), F.lit(r"\d+(?:[.,:]\d+)*"), 0))
-    flags = F.array_compact(F.array(F.when(number("original") != number("alternative"), "numbers"), F.when(X.normal_form(F.col("original")) == X.normal_form(F.col("alternative")), "identical")))
+    negations = lambda c: F.size(F.filter(X.words(F.col(c)), lambda w: w.isin(*NEGATIONS)))
+    flags = F.array_compact(F.array(F.when(number("original") != number("alternative"), "numbers"), F.when(negations("original") != negations("alternative"), "negation"), F.when(X.normal_form(F.col("original")) == X.normal_form(F.col("alternative")), "identical")))
     g = g.withColumn("flags", F.array_join(flags, ","))
     return g.withColumn("eligible", (F.col("label") == "positive") & ~F.col("conflict") & (F.col("flags") == ""))
 

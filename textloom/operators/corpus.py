@@ -64,7 +64,7 @@ def fingerprint_long(docs: DataFrame, by: str) -> DataFrame:
     per_doc = docs.select(by, "doc_id", X.n_words(F.col("text")).alias("size"), F.size(X.sentences(F.col("text"))).alias("sentences"), F.regexp_count("text", F.lit(",")).alias("comma"), F.regexp_count("text", F.lit(r"[;:]")).alias("pause"), F.regexp_count("text", F.lit(r"\d+")).alias("number"))
     paths = ("sentences", "comma", "pause", "number")
     long = per_doc.select(by, "doc_id", "size", F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.col(p).alias("hits")) for p in paths))).alias("x")).select(by, "size", "x.*")
-    return stats.robust_rate(long, [by, "path"], "hits", "size").select(by, "path", "value", F.col("confidence").alias("weight"))
+    return stats.robust_rate(long, [by, "path"], "hits", "size").select(by, "path", "value", F.col("confidence").alias("weight"), "n_observations")
 
 
 def fingerprint_distance(long: DataFrame, by: str) -> DataFrame:

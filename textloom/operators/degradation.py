@@ -62,10 +62,6 @@ def same_scope(source: Column, target: Column, restrictors: list[str], condition
     return F.coalesce(order(source) == order(target), F.lit(True))
 
 
-#: Grammar reports by (introduced, inside the change, category): what they do to a candidate, fixed values.
-REPORTS = [(intro, inside, cat, "info" if not intro else "blocking" if inside and cat == "grammar" else "strong" if cat == "grammar" else "warning" if cat == "punctuation" else "info") for intro in (True, False) for inside in (True, False) for cat in ("grammar", "punctuation", "style")]
-
-
 def opportunities(gated: DataFrame) -> DataFrame:
     """Per sentence, of gated proposals (reason null where accepted): detected, rejected, safe and surface ones."""
     ok = F.col("reason").isNull()

@@ -26,7 +26,7 @@ MARKERS = [
     ("en", "negation", "it"), ("en", "hedge", "as"), ("en", "certainty", "is"), ("en", "hedge", "of the"), ("en", "negation_exception", "it is"),
     ("fr", "negation", "pas"), ("fr", "hedge", "un"), ("fr", "certainty", "est"),
     ("de", "negation", "nicht"), ("de", "hedge", "als"), ("de", "certainty", "ist"),
-    ("es", "negation", "no"), ("es", "hedge", "se"), ("es", "certainty", "es"), ("es", "certainty", "de la"),
+    ("es", "negation", "no"), ("es", "hedge", "se"), ("es", "certainty", "es"), ("es", "certainty", "de la"), ("en", "term", "by"), ("es", "term", "de la"),
 ]
 #: (lang, group, variant, form)
 VARIANTS = [

@@ -62,6 +62,38 @@ def simple_past(auxiliary: Column, infinitive: Column, irregular: dict[tuple[str
     return out
 
 
+def periphrastic(form: Column, irregular: dict[tuple[str, int], str] | None = None) -> Column:
+    """The auxiliary and infinitive of a simple past, as an array of possible readings; empty for other forms."""
+    readings = []
+    for ending, forms in PAST.items():
+        for aux, end in zip(AUXILIARY, forms):
+            stem = F.substr(form, F.lit(1), F.length(form) - len(end))
+            readings.append(F.when(form.endswith(end) & (F.length(form) > len(end) + 1), F.concat(F.lit(f"{aux} "), stem, F.lit(ending))))
+    for (verb, person), known in (irregular or {}).items():
+        readings.append(F.when(form == known, F.lit(f"{AUXILIARY[person]} {verb}")))
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*readings))))
+
+
+def copular_fusions(sentences: DataFrame, keys: list[str], copulas: tuple[str, ...], joint: str, contrast: str, negations: tuple[str, ...]) -> DataFrame:
+    """(keys, sent_ix, strategy, fused): a sentence with a copula and a following one that starts with the same copula become one.
+
+    After a negated copula the predicates are set against each other.
+    """
+    following = F.lead("sentence").over(Window.partitionBy(*keys).orderBy("sent_ix"))
+    s = sentences.withColumn("following", following).where("following is not null")
+    first = F.lower(F.regexp_extract("following", r"^(\p{L}+) ", 1))
+    own = F.concat(F.lit(" "), F.lower("sentence"), F.lit(" "))
+    has = F.contains(own, F.concat(F.lit(" "), first, F.lit(" ")))
+    negated = F.lit(False)
+    for n in negations:
+        negated = negated | F.contains(own, F.concat(F.lit(f" {n} "), first, F.lit(" "))) | F.contains(own, F.concat(F.lit(" "), first, F.lit(f" {n} ")))
+    ends = F.col("sentence").rlike(r"[^.]\.$") & F.col("following").rlike(r"[^.]\.$")
+    fits = s.where(first.isin(*copulas) & has & ends)
+    link = F.when(negated, F.lit(contrast)).otherwise(F.lit(joint))
+    fused = F.concat(F.regexp_replace("sentence", r"\.$", ""), link, F.regexp_replace("following", r"^\p{L}+ ", ""))
+    return fits.select(*keys, "sent_ix", F.when(negated, "contrast").otherwise("coordination").alias("strategy"), fused.alias("fused"))
+
+
 def weak_pronouns(tokens: DataFrame, keys: list[str], certain: list[str], ambiguous: list[str]) -> DataFrame:
     """Adds certainty to clitic tokens: certain, or by contiguity to a certain one in two passes, else ambiguous."""
     w = Window.partitionBy(*keys).orderBy("pos")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import factual
 from .settle import settled
 
 NUMBERS = r"\d+(?:[.,:]\d+)*"
@@ -69,9 +70,10 @@ def grammar_warnings(text: Column) -> Column:
 
 
 def validate(candidates: DataFrame, markers: dict[str, list[tuple[str, str]]], low: float = 0.6, high: float = 1.6) -> DataFrame:
-    """Adds numeric_ok, negation_ok, modality_ok, length_ok, grammar_ok, warnings and valid to (lang, sentence, candidate).
+    """Adds numeric_ok, negation_ok, modality_ok, length_ok, grammar_ok, factual_ok, warnings and valid to (lang, sentence, candidate).
 
-    markers: language -> [(kind, marker)], kinds negation, hedge, certainty, and negation_exception for phrases that hold no negation. Negations stay as they are, marker by marker; hedges don't
+    markers: language -> [(kind, marker)], kinds negation, hedge, certainty, negation_exception for phrases that hold no negation, and
+    term for what must not become rarer; factual_ok covers terms and what detectors find. Negations stay as they are, marker by marker; hedges don't
     decrease and certainty doesn't grow; only new defects count.
     """
     s, c = F.col("sentence"), F.col("candidate")
@@ -93,9 +95,16 @@ def validate(candidates: DataFrame, markers: dict[str, list[tuple[str, str]]], l
 
     negation = by_lang(lambda own: counts(ws, own, "negation") == counts(wc, own, "negation"))
     modality = by_lang(lambda own: (total(counts(wc, own, "hedge")) >= total(counts(ws, own, "hedge"))) & (total(counts(wc, own, "certainty")) <= total(counts(ws, own, "certainty"))))
-    out = candidates.withColumn("numeric_ok", numeric(s, c)).withColumn("negation_ok", negation).withColumn("modality_ok", modality).withColumn("length_ok", length_ratio(s, c, low, high))
+    def none_lost(own) -> Column:
+        terms = kind(own, "term")
+        return F.forall(F.arrays_zip(marker_counts(ws, terms).alias("s"), marker_counts(wc, terms).alias("c")), lambda x: x["c"] >= x["s"]) if terms else F.lit(True)
+
+    facts = F.lit(True)
+    for k in factual.KINDS:
+        facts = facts & F.col(f"{k}_kept")
+    out = factual.kept_facts(candidates).withColumn("factual_ok", facts & by_lang(none_lost)).drop(*(f"{k}_kept" for k in factual.KINDS)).withColumn("numeric_ok", numeric(s, c)).withColumn("negation_ok", negation).withColumn("modality_ok", modality).withColumn("length_ok", length_ratio(s, c, low, high))
     out = out.withColumn("grammar_ok", grammar_errors(c) <= grammar_errors(s)).withColumn("warnings", F.greatest(F.lit(0), grammar_warnings(c) - grammar_warnings(s)))
-    return out.withColumn("valid", F.col("numeric_ok") & F.col("negation_ok") & F.col("modality_ok") & F.col("length_ok") & F.col("grammar_ok")).drop("_s", "_c")
+    return out.withColumn("valid", F.col("numeric_ok") & F.col("negation_ok") & F.col("modality_ok") & F.col("length_ok") & F.col("grammar_ok") & F.col("factual_ok")).drop("_s", "_c")
 
 
 #: Categories of epistemic markers by rising certainty.

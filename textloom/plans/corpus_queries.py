@@ -80,7 +80,7 @@ v AS (SELECT source, path, rate, sum(weight) AS wt FROM w GROUP BY 1, 2, 3),
 rn AS (SELECT *, sum(wt) OVER (PARTITION BY source, path ORDER BY rate ROWS UNBOUNDED PRECEDING) AS acc, sum(wt) OVER (PARTITION BY source, path) AS total FROM v),
 wm AS (SELECT source, path, min(CASE WHEN acc >= total / 2 THEN rate END) AS wm FROM rn GROUP BY 1, 2),
 a AS (SELECT source, path, count(*) AS nd, sum(hits) AS no, sum(rate * weight) / sum(weight) AS mean FROM w GROUP BY 1, 2),
-fp AS (SELECT source, path, round(CASE WHEN nd >= 5 THEN wm ELSE mean END, 4) AS value, CASE WHEN no <= 0 THEN 0.0 ELSE round(no / (no + 10.0) * (1 - 0.5 / nd), 3) END AS weight FROM a JOIN wm USING (source, path))"""
+fp AS (SELECT source, path, round(CASE WHEN nd >= 5 THEN wm ELSE mean END, 4) AS value, CASE WHEN no <= 0 THEN 0.0 ELSE round(no / (no + 10.0) * (1 - 0.5 / nd), 3) END AS weight, no::BIGINT AS n_observations FROM a JOIN wm USING (source, path))"""
 
 
 def fingerprint_rates_sql():

@@ -60,7 +60,7 @@ def limits(s, d):
 
 def reliable(s, d):
     """Features that have enough confidence to be preferred."""
-    return corpus.fingerprint_long(docs(s, d, "doc_id", "source", "text"), "source").where("weight >= 0.25").groupBy("path").agg(F.count("*").alias("n_sources"), F.round(F.avg("value"), 4).alias("mean_value"))
+    return corpus.fingerprint_long(docs(s, d, "doc_id", "source", "text"), "source").where("weight >= 0.25 and n_observations >= 5").groupBy("path").agg(F.count("*").alias("n_sources"), F.round(F.avg("value"), 4).alias("mean_value"))
 
 
 def agreements(s, d):
@@ -110,7 +110,7 @@ r AS (SELECT *, greatest(0, s - greatest(0, 60 - len(number)) // 2) AS lo FROM p
 SELECT doc_id, s AS "start", number, CASE WHEN lo > 0 THEN '…' ELSE '' END || trim(substr(text, lo + 1, hi - lo)) || CASE WHEN hi < len(text) THEN '…' ELSE '' END AS snippet FROM h""",
     "length_limits": f"""WITH {SENTENCES}, l AS (SELECT lang, least(author::DOUBLE, fingerprint::DOUBLE, preferred * 1.5) AS "limit" FROM {D.values(LIMITS, "lang", "author", "fingerprint", "preferred")})
 SELECT lang, "limit", count(*) AS n_sentences, coalesce(sum(CASE WHEN {n_words("sentence")} > "limit" THEN 1 ELSE 0 END), 0)::BIGINT AS n_over FROM sentences JOIN l USING (lang) GROUP BY 1, 2""",
-    "reliable_features": f"WITH {FP} SELECT path, count(*) AS n_sources, round(avg(value), 4) AS mean_value FROM fp WHERE weight >= 0.25 GROUP BY 1",
+    "reliable_features": f"WITH {FP} SELECT path, count(*) AS n_sources, round(avg(value), 4) AS mean_value FROM fp WHERE weight >= 0.25 AND n_observations >= 5 GROUP BY 1",
     "agreement_test": f"""WITH f AS {D.values(FORMS, "form", "gender", "number")} SELECT a.form AS form_a, b.form AS form_b, CASE WHEN a.gender = b.gender AND a.number = b.number THEN 'yes' WHEN NOT (a.gender = b.gender AND a.number = b.number) THEN 'no' ELSE 'unknown' END AS agrees FROM f a JOIN f b ON a.form < b.form""",
     "frequency_labels": f"""WITH {WORDS}, w AS (SELECT word, count(*) AS n FROM words GROUP BY 1) SELECT CASE WHEN n >= 1000 THEN 'very frequent' WHEN n >= 100 THEN 'frequent' WHEN n >= 10 THEN 'usual' WHEN n >= 2 THEN 'rare' ELSE 'once' END AS label, count(*) AS n_words, sum(n)::BIGINT AS n_uses FROM w GROUP BY 1""",
     "family_risks": f"SELECT family, structural, max(risk_level)::BIGINT AS covers FROM {D.values(D.FAMILIES, 'family', 'structural', 'weight')} f JOIN {D.values(D.RISKS, 'risk', 'risk_level', 'risk_weight')} r ON weight > risk_weight GROUP BY 1, 2",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import candidates as C
-from ..operators import connectors, protect, rules, scoring, segmentation, validation
+from ..operators import connectors, factual, protect, rules, scoring, segmentation, validation
 from ..operators import dimensions as D
 from . import rewrite
 from .sql import SENTENCES, WORDS, marked, n_words, q, words
@@ -109,14 +109,32 @@ def _masked(c: str, kind: str) -> str:
 
 
 _MARK = lambda c, kind: f"(SELECT coalesce(sum((len({_masked(c, kind)}) - len(replace({_masked(c, kind)}, ' ' || replace(marker, ' ', '  ') || ' ', ''))) / (len(replace(marker, ' ', '  ')) + 2)), 0) FROM mk2 WHERE mk2.lang = ds.lang AND kind = '{kind}')"
+_TIMES_OF = lambda c: f"(len({_SPACED(c)}) - len(replace({_SPACED(c)}, ' ' || replace(marker, ' ', '  ') || ' ', ''))) / (len(replace(marker, ' ', '  ')) + 2)"
 _ERRORS = lambda c: f"((len({c}) - len(replace({c}, '(', '')) <> len({c}) - len(replace({c}, ')', '')) OR len({c}) - len(replace({c}, '[', '')) <> len({c}) - len(replace({c}, ']', '')) OR len({c}) - len(replace({c}, '«', '')) <> len({c}) - len(replace({c}, '»', '')) OR len({c}) - len(replace({c}, '“', '')) <> len({c}) - len(replace({c}, '”', '')) OR (len({c}) - len(replace({c}, '\"', ''))) % 2 <> 0)::INT + (NOT regexp_matches({c}, '[.!?…:;][\"»”’)\\]]*$'))::INT + regexp_matches({c}, ',\\s*,')::INT)"
 _NUMS = lambda c: f"list_sort(list_concat(regexp_extract_all({c}, {q(validation.NUMBERS)}), regexp_extract_all({c}, {q(validation.ROMANS)}, 1)))"
 
+def fragments_sql(c: str, kind: str) -> str:
+    before, what, after = protect.DETECTORS[kind]
+    found = f"regexp_extract_all({c}, {q(f'({before})({what})({after})')}, 2)"
+    return f"list_filter({found}, lambda x: regexp_matches(x, {q(protect.VALID[kind])}))" if kind in protect.VALID else found
+
+
+_COUNT = lambda items, x: f"len(list_filter({items}, lambda y: y = {x}))"
+
+
+def kept_sql(kind: str) -> str:
+    after = "(len(candidate) - len(replace(candidate, x, ''))) / len(x)" if kind in factual.BY_TEXT else _COUNT(f"{kind}_b", "x")
+    return f"len(list_filter(list_distinct({kind}_a), lambda x: {after} < {_COUNT(f'{kind}_a', 'x')})) = 0 AS {kind}_kept"
+
+
 VALIDATED = f"""{BUILT},
 mk2 AS (SELECT * FROM {MARKERS} m),
+fc AS (SELECT *, {", ".join(f"{fragments_sql('sentence', k)} AS {k}_a, {fragments_sql('candidate', k)} AS {k}_b" for k in factual.KINDS)} FROM ds),
+fq AS (SELECT *, {", ".join(kept_sql(k) for k in factual.KINDS)} FROM fc),
 va AS (SELECT *, {_NUMS("sentence")} = {_NUMS("candidate")} AS numeric_ok, {_MARK("sentence", "negation")} = {_MARK("candidate", "negation")} AS negation_ok,
   {_MARK("candidate", "hedge")} >= {_MARK("sentence", "hedge")} AND {_MARK("candidate", "certainty")} <= {_MARK("sentence", "certainty")} AS modality_ok,
-  (len(candidate) / len(sentence) BETWEEN 0.6 AND 1.6) OR abs(len(candidate) - len(sentence)) <= 30 AS length_ok, {_ERRORS("candidate")} <= {_ERRORS("sentence")} AS grammar_ok FROM ds)"""
+  (len(candidate) / len(sentence) BETWEEN 0.6 AND 1.6) OR abs(len(candidate) - len(sentence)) <= 30 AS length_ok, {_ERRORS("candidate")} <= {_ERRORS("sentence")} AS grammar_ok,
+  {" AND ".join(f"{k}_kept" for k in factual.KINDS)} AND NOT EXISTS (SELECT 1 FROM mk2 WHERE mk2.lang = ds.lang AND kind = 'term' AND {_TIMES_OF("candidate")} < {_TIMES_OF("sentence")}) AS factual_ok FROM fq ds)"""
 
 
 def built(s, d):
@@ -129,7 +147,7 @@ def validated(s, d):
 
 def validity(s, d):
     v = validated(s, d)
-    flags = ("numeric_ok", "negation_ok", "modality_ok", "length_ok", "grammar_ok")
+    flags = ("numeric_ok", "negation_ok", "modality_ok", "length_ok", "grammar_ok", "factual_ok")
     return v.groupBy("lang", *flags).agg(F.count("*").alias("n"))
 
 
@@ -178,7 +196,7 @@ QUERIES = {
 }
 
 SELECTED = f"""{MINUTE},
-sc AS (SELECT va.*, numeric_ok AND negation_ok AND modality_ok AND length_ok AND grammar_ok AS valid, round(gn.gain, 6) AS gain,
+sc AS (SELECT va.*, numeric_ok AND negation_ok AND modality_ok AND length_ok AND grammar_ok AND factual_ok AS valid, round(gn.gain, 6) AS gain,
   round(least(1.0, greatest(0.0, abs({n_words("candidate")} - 20.0) - 8.0) / 20.0), 6) AS style, 0.15 * greatest(0, {_WARN("candidate")} - {_WARN("sentence")}) AS grammar FROM va JOIN gn ON va.doc_id = gn.doc_id AND va.sent_ix = gn.sent_ix AND va.members = gn.members),
 tt AS (SELECT *, CASE WHEN valid THEN round(gain - 0.5 * style - 0.5 * grammar, 4) ELSE -1.0 END AS total FROM sc),
 be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_ix ORDER BY total DESC, n_edits, members) AS rk FROM tt) WHERE rk = 1 AND valid AND total > 0)"""
@@ -207,7 +225,7 @@ SELECT sp.doc_id, sent_ix, kind, (greatest("start", s) - s)::BIGINT AS "start",
     "surface_degree": f"""WITH {BUILT}, f AS (SELECT doc_id, sent_ix, array_to_string(members, ',') AS members, family, confidence * CASE family WHEN 'LEXICAL' THEN 0.3 ELSE 0.35 END AS i FROM ed WHERE len(members) = 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_ix, members, family ORDER BY i DESC) - 1 AS k FROM f), a AS (SELECT doc_id, sent_ix, members, family, least(sum(i * pow(0.5, k)), 1.0) AS a FROM k GROUP BY ALL)
 SELECT doc_id, sent_ix, members, round(1 - product(1 - a), 4) AS degree FROM a GROUP BY ALL""",
-    "validators": f"WITH {VALIDATED} SELECT lang, numeric_ok, negation_ok, modality_ok, length_ok, grammar_ok, count(*) AS n FROM va GROUP BY ALL",
+    "validators": f"WITH {VALIDATED} SELECT lang, numeric_ok, negation_ok, modality_ok, length_ok, grammar_ok, factual_ok, count(*) AS n FROM va GROUP BY ALL",
     "score_components": f"WITH {SELECTED} SELECT doc_id, sent_ix, array_to_string(members, ',') AS members, round(gain, 4) AS gain, round(style, 4) AS style, valid FROM sc",
     "mode_envelope": f"""WITH {BUILT}, bad AS (SELECT DISTINCT doc_id, sent_ix, members FROM ed WHERE risk NOT IN ('none', 'low') OR confidence < 0.75)
 SELECT lang, n_edits, count(*) AS n FROM ds WHERE n_edits <= 1 AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.doc_id = ds.doc_id AND bad.sent_ix = ds.sent_ix AND bad.members = ds.members) GROUP BY 1, 2""",

@@ -47,7 +47,8 @@ def block_moves(trees: DataFrame, key: str = "sent") -> DataFrame:
     """(key, relation, block, moved): a closed block of the main verb at the clause's end goes to the front, with a comma; one at the front goes to the end."""
     t = trusted(trees).select(key, "tree", main_verb(F.col("tree")).alias("verb"))
     each = t.select(key, "tree", "verb", F.explode(F.filter("tree", lambda x: x["deprel"].isin(*MOVABLE) & (x["head"] == F.col("verb")["id"]))).alias("top"))
-    each = each.withColumn("ids", subtree(F.col("tree"), F.col("top")["id"])).where(closed(F.col("ids")))
+    marks = F.transform(F.filter("tree", lambda x: x["upos"] == "PUNCT"), lambda x: x["id"])
+    each = each.withColumn("ids", F.array_except(subtree(F.col("tree"), F.col("top")["id"]), marks)).where(closed(F.col("ids")))
     first, last = F.array_min("ids"), F.array_max("ids")
     end = F.size("tree")
     block, rest = spoken(among(F.col("tree"), F.col("ids"))), without(F.col("tree"), F.col("ids"))

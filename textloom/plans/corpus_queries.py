@@ -148,15 +148,31 @@ def checkpoint(s, name):
     return f"{base.rstrip('/')}/streams/{name}"
 
 
+def streamed(s, d, name):
+    """A table as a stream of its files."""
+    schema = s.read.parquet(f"{d}/{name}.parquet").schema
+    return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "true").parquet(d)
+
+
+def drained(s, stream, name):
+    from uuid import uuid4
+
+    own = f"{name}_{uuid4().hex}"
+    return flows.run_once(stream, own, "complete", checkpoint(s, own))
+
+
 def sessions(s, d):
-    e = s.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
-    out = e.groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
-    return out.groupBy("n").agg(F.count("*").alias("n_sessions"))
+    e = streamed(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    return drained(s, flows.sessions(e, "6 hours"), "sessions").groupBy("n").agg(F.count("*").alias("n_sessions"))
 
 
 def history_windows(s, d):
-    e = s.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    return flows.windows(e, "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+    e = streamed(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    return drained(s, flows.windows(e, "1 day"), "windows").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+def document_counters(s, d):
+    return drained(s, flows.document_counters(streamed(s, d, "documents").select("source", "text"), "source"), "counters")
 
 
 def matrix(s, d):
@@ -193,7 +209,7 @@ QUERIES = {
     "stream_feedback_counts": stream_feedback,
     "stream_sessions": sessions,
     "stream_windows": history_windows,
-    "stream_document_counters": lambda s, d: flows.document_counters(docs(s, d, "source", "text"), "source"),
+    "stream_document_counters": document_counters,
     "roman_values": lambda s, d: docs(s, d, F.explode(F.regexp_extract_all("text", F.lit(r"[IVXLCDM]+"), 0)).alias("numeral")).distinct().select("numeral", X.roman_value(F.col("numeral")).cast("long").alias("value")).where("value is not null"),
     "similarity_of_vocabularies": lambda s, d: vocabularies(s, d),
 }

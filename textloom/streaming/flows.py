@@ -48,7 +48,23 @@ def lockouts(attempts: DataFrame, most: int = 5, user: str = "user_id") -> DataF
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Drives a stream over what is available into a memory table, for tests and small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Drives a stream over what is available into files beside its checkpoint; nothing passes through the driver.
+
+    In complete mode the rows are those of the last batch, else all that were emitted.
+    """
+    spark, path = stream.sparkSession, f"{checkpoint}-{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("append").parquet(path)
+
+    q = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    out = spark.read.schema(f"{_ddl(stream)}, _batch long").parquet(path)
+    if mode == "complete":
+        last = out.agg(F.max("_batch").alias("n")).first()["n"]
+        out = out.where(F.col("_batch") == F.lit(last))
+    return out.drop("_batch")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

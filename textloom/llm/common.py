@@ -37,6 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Rows that travel to a worker at once: texts are large, and the default of 10,000 holds them twice on either side.
+BATCH = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches for this session, where they aren't smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def own_dir(spark: SparkSession) -> str:
     """The application's part of the shared folder, removed when it ends."""
     path = f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
@@ -47,9 +59,7 @@ def own_dir(spark: SparkSession) -> str:
 def clean(spark: SparkSession) -> None:
     """Removes what the application has stored; results that were not yet read are lost."""
     try:
-        jvm, path = spark._jvm, f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        removed(spark, f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}")
     except Exception:  # noqa: BLE001  the session has ended before: nothing can be removed through it
         return
 
@@ -58,13 +68,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
+    path = path or fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def once(key: str, make, large: bool = False):
     """A per-process singleton that outlives single tasks, in a module of its own, as functions come to workers by value.
 

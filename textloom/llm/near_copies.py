@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, released, stored
+from .common import fresh_path, mix64, released, removed, small_batches, stored
 from .components import components
 from .simhash import fingerprint_of, links, shingle_hashes
 
@@ -66,22 +66,34 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType([docs.schema[id_col], *added]))
 
 
+def alike_in_size(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sets are close enough in size for the least similarity: exact, and without the sets."""
+    over, under = SHARE
+    a, b = (points.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    met = pairs.join(a, "a").join(b, "b")
+    return met.where((F.least("n_a", "n_b") > 0) & (under * F.least("n_a", "n_b") >= over * F.greatest("n_a", "n_b"))).select("a", "b")
+
+
 def verified(pairs: DataFrame, held: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys that are similar enough.
+    """The pairs (a, b) of keys that are similar enough; stored.
 
-    Only the sets of these keys are read and moved, one for each key.
+    Only the sets of these keys are read and moved, one for each key, and deleted again.
     """
-    over, under = SHARE
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(points.select("key", F.col("_least").alias("least")), "key"), "wanted")
+    spark, (over, under) = pairs.sparkSession, SHARE
+    places = [fresh_path(spark, name) for name in ("alike", "wanted", "sets")]
+    pairs = stored(alike_in_size(pairs, points), "alike", places[0])
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(points.select("key", F.col("_least").alias("least")), "key"), "wanted", places[1])
     few = wanted.count() <= BROADCAST
     found = held.join(F.broadcast(wanted) if few else wanted, (held["key"] == wanted["key"]) & held["_id"].eqNullSafe(wanted["least"]), "left_semi")
-    sets = stored(found.select("key", "shingles").dropDuplicates(["key"]), "sets")
+    sets = stored(found.select("key", "shingles").dropDuplicates(["key"]), "sets", places[2])
 
     met = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a")), "a")
     # in the JVM row by row: batches of such rows would be large
     n, m = F.size("of_a"), F.size("of_b")
-    close = met.where((n > 0) & (m > 0) & (under * F.least(n, m) >= over * F.greatest(n, m))).withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
-    return close.where((F.col("common") > 0) & (under * F.col("common") >= over * (n + m - F.col("common")))).select("a", "b")
+    close = met.withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    out = stored(close.where(under * F.col("common") >= over * (n + m - F.col("common"))).select("a", "b"), "edges")
+    removed(spark, *places)
+    return out
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -91,8 +103,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is one shingle. Ids are of any ordered type; null ids are never the smallest; repeated rows keep their place.
     """
     docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    held = stored(sketches(docs, "_id", "_text", shingle), "sketches")
-    points = stored(held.groupBy("key").agg(F.min("_id").alias("_least"), F.first("fp").alias("fp")), "points")
+    spark = docs.sparkSession
+    small_batches(spark)
+    places = [fresh_path(spark, name) for name in ("sketches", "met", "pairs")]
+    held = stored(sketches(docs, "_id", "_text", shingle), "sketches", places[0])
+    ids = stored(held.select("_id", "key"), "ids")
+    points = stored(held.groupBy("key").agg(F.min("_id").alias("_least"), F.first("fp").alias("fp"), F.first(F.size("shingles")).alias("n")), "points")
     # texts of one fingerprint or of close ones
     of_print = stored(points.groupBy("fp").agg(F.min("key").alias("lead")), "prints")
     same = points.join(of_print, "fp").select(F.col("lead").alias("a"), F.col("key").alias("b"))
@@ -101,10 +117,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # in each cell, first the pairs with its least key: as many as rows, whatever a group's size
     rows = held.select(F.explode("cells").alias("cell"), "key").distinct()
     leads = rows.groupBy("cell").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = stored(rows.join(leads, "cell"), "met")
+    met = stored(rows.join(leads, "cell"), "met", places[1])
     led = met.select(F.col("lead").alias("a"), F.col("key").alias("b"))
-    first = stored(led.unionByName(same).unionByName(near).where("a <> b").distinct(), "pairs")
-    edges = stored(verified(first, held, points), "edges")
+    first = stored(led.unionByName(same).unionByName(near).where("a <> b").distinct(), "pairs", places[2])
+    edges = verified(first, held, points)
     # then those that are not yet in one component
     roots = components(edges).withColumnRenamed("node", "key")
     rooted = met.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -113,9 +129,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     x, y = (parts.select("cell", F.col("root").alias(f"root_{c}"), F.col("keys").alias(f"keys_{c}")) for c in "xy")
     crossed = x.join(y, "cell").where("root_x < root_y").select(F.explode("keys_x").alias("x"), "keys_y").select("x", F.explode("keys_y").alias("y"))
     rest = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    edges = edges.unionByName(stored(verified(stored(rest, "pairs"), held, points), "edges"))
+    edges = edges.unionByName(verified(rest, held, points))
+    removed(spark, *places)
     roots = components(edges).withColumnRenamed("node", "key")
     placed = points.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
     of_key = placed.select("key", "root").join(least, "root").select("key", "component_id")
-    return held.select("_id", "key").join(of_key, "key").select(F.col("_id").alias(id_col), "component_id")
+    return ids.join(of_key, "key").select(F.col("_id").alias(id_col), "component_id")

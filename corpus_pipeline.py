@@ -36,15 +36,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one document of each component of near copies: that of the smallest doc_id, null last, then of the least text hash.
 
     Near copies have a Jaccard similarity of 0.8 or more on five-word shingles. Texts without a word, null ones
-    included, are copies of each other. Of repeated rows one stays. An empty table stays empty.
+    included, are copies of each other. Of repeated rows one stays, of rows that share id and text that of the least hash. An empty table stays empty.
     """
-    last, of_text = F.coalesce(F.col("doc_id"), F.lit(LAST_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = docs.select(F.struct(last.alias("id"), of_text.alias("hash"), F.col("text").isNull().alias("none")).alias("key"), "text")
-    first = near_copies.near_copies(keyed, "key").select(F.col("component_id").alias("of")).distinct()
-    held = wrapped(docs, F.struct(last.alias("id"), of_text.alias("hash"), F.col("text").isNull().alias("none")).alias("key"))
-    kept = held.join(first.hint("shuffle_hash"), held["key"] == first["of"], "left_semi")
-    order = Window.partitionBy("key").orderBy(F.xxhash64(*(F.col(f"row.`{c}`") for c in docs.columns if c != "text")))
-    return unwrapped(kept.withColumn("n", F.row_number().over(order)).where("n = 1"), docs)
+    others = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")), F.lit(0))
+    key = F.struct(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.col("text").isNull().alias("none"), others.alias("others"))
+    found = near_copies.near_copies(docs.select(key.alias("key"), "text"), "key")
+    first = stored(found.where("key = component_id").groupBy(F.col("key").alias("of")).agg(F.count("*").alias("times")), "first")
+    held = wrapped(docs, key.alias("key")).join(first.hint("shuffle_hash"), F.col("key") == F.col("of"))
+    # rows that are equal in everything: few, and only they meet
+    again = held.where("times > 1").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("times"))).where("n = 1")
+    return unwrapped(held.where("times = 1"), docs).unionByName(unwrapped(again, docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

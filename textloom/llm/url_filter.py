@@ -75,11 +75,12 @@ def ratios(training: DataFrame, wanted: DataFrame) -> DataFrame:
     before = None
     for k in orders:
         asked = grams_.select(suffix(F.col("gram"), k).alias("s")).distinct().withColumn("context", F.substr("s", F.lit(1), F.lit(k)))
-        met = asked.join(totals.where(F.col("k") == k).drop("k"), "context", "left").join(seen.where(F.col("k") == k).drop("k"), "s", "left")
+        # sizes of files say little about such rows in memory: all joins by sorting, none by broadcast
+        met = asked.join(totals.where(F.col("k") == k).drop("k").hint("merge"), "context", "left").join(seen.where(F.col("k") == k).drop("k").hint("merge"), "s", "left")
         if before is None:
             met = met.withColumns({"p0": F.lit(FLOOR), "p1": F.lit(FLOOR)})
         else:
-            met = met.withColumn("shorter", F.substr("s", F.lit(2), F.lit(k))).join(before, "shorter")
+            met = met.withColumn("shorter", F.substr("s", F.lit(2), F.lit(k))).join(before.hint("merge"), "shorter")
         p = lambda c: F.when(F.col(f"total{c}").isNull(), F.col(f"p{c}")).otherwise((F.greatest(F.coalesce(f"n{c}", F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds{c}") * F.col(f"p{c}")) / F.col(f"total{c}"))
         before = met.select(F.col("s").alias("shorter"), p(0).alias("p0"), p(1).alias("p1"))
     return before.select(F.col("shorter").alias("gram"), F.round((F.log("p1") - F.log("p0")) * 1e6).cast("long").alias("ratio"))
@@ -121,9 +122,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     asked = distinct.where(F.col("rule").isNull() | calibrates).select("url", "verdict", "n")
     each = grams(asked)
     table = stored(ratios(training, each), "url_ratios")
-    summed = each.select("url", "gram").join(table, "gram").groupBy("url").agg(F.sum("ratio").alias("sum"), F.count("*").alias("length"))
-    scores = stored(asked.join(summed, "url").select("url", "verdict", "n", (F.col("sum") / F.col("length") / 1e6).alias("score")), "url_scores")
+    summed = each.select("url", "gram").join(table.hint("merge"), "gram").groupBy("url").agg(F.sum("ratio").alias("sum"), F.count("*").alias("length"))
+    scores = stored(asked.join(summed.hint("merge"), "url").select("url", "verdict", "n", (F.col("sum") / F.col("length") / 1e6).alias("score")), "url_scores")
     cut = threshold(scores.where(F.col("verdict").isNotNull()))
     lm = scores.where(F.col("verdict").isNull()).select(F.col("url").alias("_url"), "score")
-    judged = rows.join(lm, "_url", "left")
+    judged = rows.join(lm.hint("merge"), "_url", "left")
     return judged.select(id_col, "host", "path", "rule", F.coalesce("rule_verdict", F.when(F.col("score") >= F.lit(cut), F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"), "score")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent, once
+from .common import Recent, once, small_batches
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 #: Longest stretch that is encoded in one piece, and the first half-width of a join's window.
@@ -31,7 +31,7 @@ LEAF, REACH = 2048, 64
 #: Tokens that must agree on either side of a join.
 AGREE = 3
 #: Words, and lower-case cores of words, that a worker remembers (twice as many at most).
-MEMORY = 200_000
+MEMORY = 150_000
 #: Precomposed Latin letters and the punctuation after them: always two pre-tokens, free of normalisation but for case.
 CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
@@ -155,6 +155,7 @@ def codec(path: str) -> WordBpe:
 
 def _mapped(df: DataFrame, keep: list[str], source: str, out: list[T.StructField], f) -> DataFrame:
     """df's columns `keep`, and those that f gives for the batch's `source` values."""
+    small_batches(df.sparkSession)
     schema = T.StructType([df.schema[c] for c in keep] + out)
     names = [*keep, *(x.name for x in out)]
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.settle import settled
-from .common import LAST_ID, SOLID, SPACE
+from .common import LAST_ID, SOLID, SPACE, small_batches
 
 #: Text bytes of a chunk, about.
 CHUNK = 4 << 20
@@ -79,6 +79,7 @@ class Placed:
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, added: list[str], by_words: bool, context: int, chunk_bytes: int | None = None):
+        small_batches(docs.sparkSession)
         text, size = F.col(f"`{text_col}`"), F.octet_length(F.col(f"`{text_col}`"))
         is_long = F.coalesce(F.length(text) > PIECE, F.lit(False))
         row = docs.agg(F.sum(size).alias("all"), F.sum(F.when(is_long, size)).alias("long")).first()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import once
+from .common import once, small_batches
 
 UNDETERMINED = "und"
 #: Bytes that are compressed at once: few beside the window (512 KiB), which must hold the dictionary too.
@@ -101,6 +101,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     keep = [c for c in docs.columns if c not in {f.name for f in added}]
     at = keep.index(text_col)
     key = model.key()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = once(f"langid:{key}", lambda: compressors(model), large=True)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import small_batches, stored
 from .components import components
 
 SEGMENTS = 32
@@ -163,6 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without a word, null ones included, have fingerprint zero and link like any other. Null
     ids are never the smallest (a component of them alone has a null id); repeated rows keep their place.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     held = stored(fingerprints(docs, "_id", "_text", shingle), "fingerprints")
     points = held.groupBy("fp").agg(F.min("_id").alias("_least"))

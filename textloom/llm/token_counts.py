@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, once, stored
+from .common import Recent, once, small_batches, stored
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: A unit starts at a space, or at a line break; no vocabulary piece spans either start.
@@ -93,6 +93,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     Returns the id column, n_bytes and n_tokens.
     """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
+    small_batches(spark)
     keyed = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_content")).withColumn("_digest", F.unhex(F.sha2("_content", 256)))
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
 

@@ -31,7 +31,7 @@ LEAF, REACH = 2048, 64
 #: Tokens that must agree on either side of a join.
 AGREE = 3
 #: Words, and lower-case cores of words, that a worker remembers (twice as many at most).
-MEMORY = 150_000
+MEMORY = 100_000
 #: Precomposed Latin letters and the punctuation after them: always two pre-tokens, free of normalisation but for case.
 CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 

@@ -149,8 +149,12 @@ def checkpoint(s, name):
 
 
 def streamed(s, d, name):
-    """A table as a stream of its files."""
-    schema = s.read.parquet(f"{d}/{name}.parquet").schema
+    """A table as a stream of its files, whether it is one file or a folder of them."""
+    path = f"{d}/{name}.parquet"
+    schema = s.read.parquet(path).schema
+    at = s._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(s._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory():
+        return s.readStream.schema(schema).parquet(path)
     return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "true").parquet(d)
 
 

@@ -50,7 +50,7 @@ def lockouts(attempts: DataFrame, most: int = 5, user: str = "user_id") -> DataF
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Drives a stream over what is available into files beside its checkpoint; nothing passes through the driver.
 
-    In complete mode the rows are those of the last batch, else all that were emitted.
+    In complete mode the rows are those of the last batch, else all that were emitted; without input there are none.
     """
     spark, path = stream.sparkSession, f"{checkpoint}-{name}"
 
@@ -59,7 +59,9 @@ def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFr
 
     q = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    out = spark.read.schema(f"{_ddl(stream)}, _batch long").parquet(path)
+    schema = f"{_ddl(stream)}, _batch long"
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     if mode == "complete":
         last = out.agg(F.max("_batch").alias("n")).first()["n"]
         out = out.where(F.col("_batch") == F.lit(last))

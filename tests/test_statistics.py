@@ -1,10 +1,12 @@
 """Golden values of the robust statistics, validators, scores and preferences."""
 
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import stats
-from textloom.operators import candidates, preferences, scoring, validation
+from textloom.operators import candidates, preferences, scoring, style, validation
 from textloom.operators import dimensions as D
 
 
@@ -88,3 +90,49 @@ def test_preference_hierarchy(spark):
     author = spark.createDataFrame([("b", 1.0), ("d", 0.75)], "form string, weight double")
     got = {r["form"]: (r["origin"], r["value"]) for r in preferences.resolve(forms, spark.createDataFrame([("a",)], "form string"), status, author, author.where("false")).collect()}
     assert got == {"a": ("user", 1.0), "b": ("dictionary", -1.0), "c": ("dictionary", 1.0), "d": ("author", 0.5), "e": ("engine", 0.0)}
+
+
+def ngrams_by_hand(rows, k):
+    """(by, size, gram, n, n_documents, rank) of words and sentences that need no care."""
+    found = defaultdict(list)
+    for doc, by, text in rows:
+        for s in text.split("\n"):
+            w = s.split()
+            for n in (2, 3, 4):
+                for i in range(len(w) - n + 1):
+                    found[by, n, " ".join(w[i : i + n])].append(doc)
+    kept = {g: (len(d), len(set(d) - {None})) for g, d in found.items() if len(d) >= 3 and len(set(d) - {None}) >= 2}
+    inside = {(by, part, c[0]) for (by, n, g), c in kept.items() if n > 2 and by is not None for part in (g.rsplit(" ", 1)[0], g.split(" ", 1)[1])}
+    out = []
+    for by in {g[0] for g in kept}:
+        own = sorted((-c[0], -n, g, c[1]) for (b, n, g), c in kept.items() if b == by and (by, g, c[0]) not in inside)
+        out += [(by, -n, g, -c, d, rank) for rank, (c, n, g, d) in enumerate(own[:k], 1)]
+    return out
+
+
+def test_recurrent_ngrams_by_hand(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    line = lambda: " ".join(r.choices("abcdefghij", [40, 20, 13, 10, 8, 6, 5, 4, 3, 3], k=r.randint(1, 9)))
+    rows = [(r.choice([None, *range(40)]), r.choice(["x", "y", None]), "\n".join(line() for _ in range(4))) for _ in range(150)] + [(1, "z", "a b c a b c"), (2, "z", "a b c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, by string, text string")
+    for top, held, k in ((style.TOP, style.HELD, 20), (2, style.HELD, 2), (2, 0, 20)):  # more words are needed; nothing is sent to the executors
+        monkeypatch.setattr(style, "TOP", top)
+        monkeypatch.setattr(style, "HELD", held)
+        assert sorted(map(tuple, style.recurrent_ngrams(docs, "by", k=k).collect()), key=repr) == sorted(ngrams_by_hand(rows, k), key=repr)
+
+
+def test_recurrent_ngrams_move_no_sentences(spark, sf_dir):
+    def moved(plan):
+        below = [plan.initialPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.children().apply(i) for i in range(plan.children().size())]
+        return [plan.schema().simpleString()] * (plan.nodeName() == "Exchange") + [x for p in below for x in moved(p)]
+
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        schemas = moved(style.recurrent_ngrams(spark.read.parquet(f"{sf_dir}/documents.parquet"), "lang")._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set(threshold, before)
+    assert schemas and not [s for s in schemas if "array<" in s]

@@ -82,34 +82,103 @@ def top_words(docs: DataFrame, by: str, k: int = 15, least: int = 4) -> DataFram
     return counted.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def ngrams(docs: DataFrame, by: str, sizes=(2, 3, 4), min_count: int = 3, min_docs: int = 2) -> DataFrame:
-    """Word n-grams within sentences: (by, size, gram, n, n_documents) at the least counts.
+#: Words of a group whose n-grams are counted first, and how many times more are taken where that is not enough.
+TOP, MORE = 512, 16
+#: Rows of a table up to which it is sent to every executor, so that no n-gram moves to meet it.
+HELD = 1 << 17
 
-    First hashes alone are counted, with the least and greatest document of each, which is enough to leave out what
-    is rare or in one document; only what remains is counted by document, with its text.
-    """
+
+def held(table: DataFrame) -> DataFrame:
+    """A table, to be sent to every executor if it has few rows: these are kept, so that it is made once."""
+    rows = table.limit(HELD + 1).collect()
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema)) if len(rows) <= HELD else table
+
+
+def foremost(table: DataFrame, by: str, rank, order: list, most: int) -> DataFrame:
+    """The rows of each group up to a rank, which is added; first in parts of a group, so that no task reads all of it."""
+    part = F.pmod(F.hash(*table.columns), F.lit(32))
+    own = table.withColumn("_part", part).withColumn("_rank", rank().over(Window.partitionBy(by, "_part").orderBy(*order))).where(F.col("_rank") <= most).drop("_part", "_rank")
+    return own.withColumn("_rank", rank().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_rank") <= most)
+
+
+def places(docs: DataFrame, by: str, n: int) -> DataFrame:
+    """A row for each word of each sentence, with the n - 1 words after it: (by, doc_id, _w0, ...), null past the sentence's end."""
     from .settle import settled
 
     s = settled(docs.select(by, "doc_id", F.explode(X.sentences(F.col("text"))).alias("sentence")), w=X.words(F.col("sentence")))
+    following = (F.slice("w", j + 1, F.greatest(F.size("w") - j, F.lit(0))).alias(f"_w{j}") for j in range(1, n))
+    return s.select(by, "doc_id", F.explode(F.arrays_zip(F.col("w").alias("_w0"), *following)).alias("_p")).select(by, "doc_id", *(F.col(f"_p._w{j}").alias(f"_w{j}") for j in range(n)))
+
 
-    def of_size(n: int):
-        make = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.lit(n).alias("size"), i.alias("at"), F.xxhash64(F.slice("w", i, n)).alias("hash")))
-        return F.when(F.size("w") >= n, make).otherwise(F.array().cast("array<struct<size:int,at:int,hash:bigint>>"))
+def matched(rows: DataFrame, by: str, table: DataFrame, names: dict[str, str], flag: str | None = None) -> DataFrame:
+    """Rows whose columns are in a table of the same group (names: the row's column -> the table's); with a flag, all rows, which tells it."""
+    t = table.select(F.col(by).alias("_by"), *(F.col(c).alias(f"_to{c}") for c in names.values()), *([F.lit(True).alias(flag)] if flag else []))
+    same = rows[by].eqNullSafe(t["_by"])
+    for own, other in names.items():
+        same = same & (rows[own] == t[f"_to{other}"])
+    return rows.join(t, same, "left").drop("_by", *(f"_to{c}" for c in names.values())) if flag else rows.join(t, same, "left_semi")
 
-    each = s.select(by, "doc_id", "w", F.explode(F.flatten(F.array(*(of_size(n) for n in sizes)))).alias("g")).select(by, "doc_id", "w", "g.*")
-    seen = each.groupBy(by, "size", "hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"))
-    often = seen.where((F.col("n") >= min_count) & ((F.col("_a") != F.col("_b")) if min_docs > 1 else F.lit(True))).select(by, "size", "hash")
-    gram = F.array_join(F.slice("w", F.col("at"), F.col("size")), " ")
-    kept = each.join(often, [by, "size", "hash"], "left_semi").groupBy(by, "size", gram.alias("gram"), "doc_id").agg(F.count("*").alias("n"))
-    return kept.groupBy(by, "size", "gram").agg(F.sum("n").alias("n"), F.count("*").alias("n_documents")).where((F.col("n") >= min_count) & (F.col("n_documents") >= min_docs))
+
+def frequent(docs: DataFrame, by: str, size: int, min_count: int, min_docs: int, k: int | None = None) -> DataFrame:
+    """(by, _w0, ...): the n-grams of one size at the least counts; with k, those of them that are at least as frequent as a group's k-th.
+
+    No n-gram is more frequent than its rarest word. So n-grams of a group's most frequent words are counted, and of more words as long as
+    one that was left out is as frequent as the k-th n-gram found, or the least count.
+    """
+    words = docs.select(by, F.explode(X.words(F.col("text"))).alias("_word")).groupBy(by, "_word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    spread = F.count_distinct("doc_id") >= min_docs if min_docs > 2 else F.min("doc_id") < F.max("doc_id") if min_docs == 2 else F.lit(True)
+    parts = [f"_w{j}" for j in range(size)]
+    tried = TOP
+    while True:
+        top = held(foremost(words, by, F.row_number, [F.desc("n"), "_word"], tried + 1) if k else words.withColumn("_rank", F.lit(0)))
+        grams = places(docs, by, size)
+        for c in parts:
+            grams = matched(grams, by, top.where(F.col("_rank") <= tried), {c: "_word"})
+        grams = grams.groupBy(by, *parts).agg(F.count("*").alias("n"), spread.alias("_spread")).where((F.col("n") >= min_count) & F.col("_spread")).drop("_spread")
+        if not k:
+            return held(grams)
+        often = held(foremost(grams, by, F.rank, [F.desc("n")], k))
+        least = often.groupBy(F.col(by).alias("_by")).agg(F.when(F.count("*") >= k, F.min("n")).otherwise(min_count).alias("_least"))
+        left_out = top.where(F.col("_rank") == tried + 1)
+        if left_out.join(least, left_out[by].eqNullSafe(least["_by"]), "left").where(F.col("n") >= F.coalesce("_least", F.lit(min_count))).isEmpty():
+            return often
+        tried *= MORE
+
+
+def ngrams(docs: DataFrame, by: str, sizes=(2, 3, 4), min_count: int = 3, min_docs: int = 2, k: int | None = None) -> DataFrame:
+    """Word n-grams within sentences: (by, size, gram, n, n_documents) at the least counts.
+
+    With k, all that are at least as frequent as a group's k-th n-gram of the least size, and some others. The n-grams of the least
+    size that are frequent enough are found first; longer ones are only made of those, as none is more frequent than a part of it.
+    """
+    least, most = min(sizes), max(sizes)
+    often = frequent(docs, by, least, min_count, min_docs, k)
+    rows, reach = places(docs, by, most), F.lit(0)
+    rows = matched(rows, by, often, {f"_w{j}": f"_w{j}" for j in range(least)})
+    for at in range(1, most - least + 1):
+        rows = matched(rows, by, often, {f"_w{at + j}": f"_w{j}" for j in range(least)}, f"_also{at}")
+    for at in range(most - least, 0, -1):
+        reach = F.when(F.col(f"_also{at}"), 1 + reach).otherwise(0)
+    made = F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= least + reach)
+    each = rows.select(by, "doc_id", F.array(*(f"_w{j}" for j in range(most))).alias("_w"), F.explode(made).alias("size"))
+    gram = F.array_join(F.slice("_w", F.lit(1), F.col("size")), " ")
+    counted = each.groupBy(by, "size", gram.alias("gram"), "doc_id").agg(F.count("*").alias("n"))
+    return counted.groupBy(by, "size", "gram").agg(F.sum("n").alias("n"), F.count("doc_id").alias("n_documents")).where((F.col("n") >= min_count) & (F.col("n_documents") >= min_docs))
 
 
 def recurrent_ngrams(docs: DataFrame, by: str, sizes=(2, 3, 4), min_count: int = 3, min_docs: int = 2, k: int = 20) -> DataFrame:
-    """The k most frequent n-grams that no longer one contains with the same count."""
-    g = ngrams(docs, by, sizes, min_count, min_docs)
+    """The k most frequent n-grams that no longer one contains with the same count.
+
+    Each n-gram of the least size stands, with its count, in one that no longer one contains so; such a one holds few of the least size. So
+    k of them are at least as frequent as the n-gram of the least size at that many times k, and only what is as frequent is counted.
+    """
+    g = ngrams(docs, by, sizes, min_count, min_docs, k * (max(sizes) - min(sizes) + 1))
     # the two n-grams one word shorter inside each; longer containment goes through them or has another count
     words = F.split("gram", " ")
-    inner = g.where(F.col("size") > min(sizes)).select(by, "n", F.explode(F.array(F.array_join(F.slice(words, 1, F.col("size") - 1), " "), F.array_join(F.slice(words, F.lit(2), F.col("size") - 1), " "))).alias("gram")).distinct()
-    kept = g.join(inner, [by, "gram", "n"], "left_anti")
+    inner = F.array(F.array_join(F.slice(words, 1, F.col("size") - 1), " "), F.array_join(F.slice(words, F.lit(2), F.col("size") - 1), " "))
+    inner = F.when((F.col("size") > min(sizes)) & F.col(by).isNotNull(), F.transform(inner, lambda x: F.struct(x.alias("gram"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("long").alias("n_documents"), F.lit(1).alias("inside")))).otherwise(F.array())
+    own = F.array(F.struct("gram", "size", "n_documents", F.lit(0).alias("inside")))
+    met = g.select(by, "n", F.explode(F.concat(own, inner)).alias("_g")).select(by, "n", "_g.*")
+    kept = met.groupBy(by, "gram", "n").agg(F.max("size").alias("size"), F.max("n_documents").alias("n_documents"), F.max("inside").alias("inside")).where("inside = 0")
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), F.desc("size"), "gram"))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= k)
+    return kept.select(by, "size", "gram", "n", "n_documents").withColumn("rank", rank).where(F.col("rank") <= k)

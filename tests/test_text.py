@@ -1,5 +1,9 @@
 """Segmentation, tokens, casing, numerals, spans and splicing on literal cases."""
 
+import difflib
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +136,37 @@ def test_corpus_statuses(spark):
     validation = spark.createDataFrame([("v.txt", "x"), ("w.txt", "z")], "name string, text string")
     got = {r["name"]: r["status"] for r in corpus.load(main, validation, ["sk?p.*"]).collect()}
     assert got == {"a.txt": "used", "b.txt": "duplicate", "c.txt": "empty", "skip.txt": "excluded", "d.txt": "empty", "v.txt": "overlap", "w.txt": "used"}
+
+
+def compared(options, k):
+    """Places of k options, with every distance taken as it is defined."""
+    ratio = lambda a, b: round(1 - difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), 4)
+    far = lambda i, chosen: min((2 * (options[i][1] != options[c][1]) + ratio(options[i][2], options[c][2])) / 3 for c in chosen)
+    rest = sorted(range(len(options)), key=lambda i: (-options[i][0], i))
+    chosen = [rest.pop(0)]
+    while rest and len(chosen) < k:
+        chosen.append(max(rest, key=lambda i: (far(i, chosen), options[i][0], -i)))
+        rest.remove(chosen[-1])
+    return chosen
+
+
+def test_changes_and_diverse_options_as_defined(monkeypatch):
+    r = random.Random(3)
+    monkeypatch.setattr(diff, "LONG", 16)
+    for n in range(300):
+        a = "".join(r.choices("ab é😀"[: r.randint(1, 5)], k=r.randint(0, 60)))
+        b = "".join(r.choices("ab é😀", k=r.randint(0, 60))) if n % 2 else a[: r.randint(0, 60)] + "b" * r.randint(0, 9) + a[r.randint(0, 60) :]
+        assert diff.change(a, b) == round(1 - difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), 4)
+    for _ in range(60):
+        options = [(round(r.random(), 1), r.choice("xyz"), "".join(r.choices("ab ", k=r.randint(0, 30)))) for _ in range(r.randint(1, 12))]
+        for k in (1, 3, 6):
+            assert diff.diverse(options, k) == compared(options, k)
+
+
+def test_diverse_options_of_a_long_sentence():
+    r = random.Random(4)
+    words = [r.choice(["house", "river", "the", "old", "stone", "of", "market"]) for _ in range(3000)]
+    options = [(0.5, "x", " ".join([*words[:at], "changed", *words[at + 1 :]])) for at in r.sample(range(3000), 20)]
+    began = time.process_time()
+    assert len(set(diff.diverse(options, 3))) == 3
+    assert time.process_time() - began < 30

@@ -1,8 +1,11 @@
 """Every query runs on the smallest tables and agrees with its SQL; rewriting keeps its invariants; streams drain."""
 
 import math
+import random
+import time
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +104,48 @@ def test_session_stream(spark, tmp_path, sf_dir):
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     got = flows.run_once(flows.windows(stream, "1 hour"), "hours", "complete", str(tmp_path / "cp"))
     assert got.agg(F.sum("n")).first()[0] == events.count()
+
+
+def searched_by_definition(df, width, penalty):
+    states = [(0.0, (), {})]
+    for ix, group in df.sort_values(["sent_ix", "option_ix"]).groupby("sent_ix"):
+        longer = []
+        for total, path, used in states:
+            for o in group.itertuples():
+                cost = penalty / (1 + ix - used[o.connector]) if o.connector and o.connector in used else 0.0
+                longer.append((round(total + o.total - cost, 6), (*path, (ix, o.option_ix)), used | {o.connector: ix} if o.connector else used))
+        longer.sort(key=lambda s: (-s[0], s[1]))
+        first_of = {}
+        for s in longer:
+            first_of.setdefault(s[1][-1], s)
+        kept = [longer[0], *(s for s in first_of.values() if s is not longer[0])][:width]
+        kept += [s for s in longer if not any(s is k for k in kept)][: width - len(kept)]
+        states = sorted(kept, key=lambda s: (-s[0], s[1]))
+    total, path, _ = states[0]
+    return {"sent_ix": [p[0] for p in path], "option_ix": [p[1] for p in path], "path_total": total}
+
+
+def options_of(r, n, words, places=(0.1, 0.2, 0.3)):
+    rows = [(1, i, o, r.choice(words), r.choice(places), False) for i in range(n) if r.random() < 0.8 or not i for o in range(1, r.randint(2, 7))]
+    r.shuffle(rows)
+    return pd.DataFrame(rows, columns=["doc_id", "sent_ix", "option_ix", "connector", "total", "structural"])
+
+
+def test_beam_as_defined():
+    r = random.Random(6)
+    for _ in range(150):
+        df = options_of(r, r.randint(1, 25), [None, "", *"abcdefgh"[: r.randint(1, 8)]])
+        width = r.choice([1, 2, 6, 9])
+        assert paragraphs.searched(df, width, 0.18) == searched_by_definition(df, width, 0.18)
+
+
+def test_beam_of_a_long_document_grows_in_proportion():
+    r = random.Random(7)
+    words = [str(n) for n in range(5000)]
+    took = []
+    for n in (1500, 6000):
+        df = options_of(r, n, words)
+        began = time.process_time()
+        assert len(paragraphs.searched(df, 6, 0.18)["sent_ix"]) == df.sent_ix.nunique()
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
